@@ -50,6 +50,16 @@ def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+#: A public vocabulary file; its path is a parameter of the operator.
+MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.sentencepiece_codec import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), MODEL_FILE).drop("token_ids")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.exact_dedup import exact_duplicates
 
@@ -73,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm_scoring": op4_lm_scoring,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
