@@ -169,3 +169,24 @@ def mix_sources(
     return priced.join(chosen, F.col("_row") == F.col("key"), "left").select(
         "doc_id", "source", "size", "source_size", "target", copies.cast("int").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
+
+
+def mixed_documents(
+    docs: DataFrame,
+    weights: Sequence[int] = (5, 2, 1),
+    share: float = 1.5,
+    most: float = 2.0,
+    seed: int = 17,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The mix itself: every document as many times as it is taken, all columns kept."""
+    named = docs.withColumn("__text_key", F.xxhash64(F.col(text_col)))
+    keyed = named.select(F.struct(F.col(id_col), F.col("__text_key")).alias("__key"), F.col(text_col), F.col(source_col))
+    told = mix_sources(keyed, weights, share, most, seed, id_col="__key", text_col=text_col, source_col=source_col)
+    told = told.groupBy(F.col("doc_id").alias("__taken")).agg(F.sum("copies").cast("int").alias("__copies")).where("__copies > 0")
+    # rows that repeat have their copies added up and are there once before they are multiplied
+    single = named.withColumn("__key", F.struct(F.col(id_col), F.col("__text_key"))).dropDuplicates(["__key"])
+    chosen = single.join(told, F.col("__key") == F.col("__taken"))
+    return chosen.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)

@@ -297,3 +297,14 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     return owned.join(names, F.col("_top") == F.col("_name"), "left").select(
         "doc_id", "n_shingles", F.when(F.col("_top").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, all columns kept, with one of each component: the one whose identifier names it.
+
+    Identifiers should be unique; rows that share one stay or go together.
+    Documents without an identifier stay only where their component has none.
+    """
+    told = ngram_components(docs, width, percent, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = told.select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept["__kept"]), "left_semi")
