@@ -100,13 +100,14 @@ def pivotal(rows: DataFrame, seed: int = 17, fan_in: int = 64) -> DataFrame:
         counts = cut(rows.groupBy("_source").agg(F.count(F.lit(1)).alias("_n")))
         largest = counts.agg(F.max("_n")).first()[0] or 0
         salts = F.greatest(F.ceil(F.col("_n") / BUCKET), F.lit(1))
-        salted = rows.join(counts, "_source").withColumn("_salt", F.pmod(F.xxhash64(F.lit(seed), F.col("hash")), salts))
-        order = Window.partitionBy("_source", "_salt").orderBy(F.desc("full"), F.desc("hash"), F.desc("key"))
+        # one key for source and salt: with two, the join's distribution by source would do for the window
+        salted = rows.join(counts, "_source").withColumn("_bucket", F.struct("_source", F.pmod(F.xxhash64(F.lit(seed), F.col("hash")), salts).alias("salt")))
+        order = Window.partitionBy("_bucket").orderBy(F.desc("full"), F.desc("hash"), F.desc("key"))
         done = cut(
             salted.withColumn("_group", F.floor((F.row_number().over(order) - 1) / fan_in))
-            .groupBy("_source", "_salt", "_group")
+            .groupBy("_bucket", "_group")
             .agg(F.sort_array(F.collect_list(F.struct("full", "hash", "key", "mass")), asc=False).alias("_members"))
-            .select("_source", F.transform("_members", lambda m: F.struct(*[m[f].alias(f) for f in ("key", "hash", "full", "mass")])).alias("_members"))
+            .select(F.col("_bucket._source").alias("_source"), F.transform("_members", lambda m: F.struct(*[m[f].alias(f) for f in ("key", "hash", "full", "mass")])).alias("_members"))
             .select("_source", _round_group(F.col("_members"), seed, level).alias("_state"))
         )
         decided.append(done.select(F.explode("_state.done").alias("_d")).select("_d.key", "_d.up"))
