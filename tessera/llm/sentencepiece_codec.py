@@ -15,7 +15,6 @@ import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +28,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: The pieces of a text between which no merge can happen in a separable model.
 CUT = f"{MARK}*[^{MARK}\n]+|{MARK}+|\n"
-#: Distinct cuts that a task remembers; it starts anew beyond that.
-REMEMBERED = 400_000
+#: Distinct cuts that a task remembers; beyond that it keeps those of the texts at hand.
+REMEMBERED = 500_000
 
 
 @dataclass
@@ -86,7 +85,7 @@ def separable(model: Model) -> bool:
     """Whether texts can be cut before runs of markers and around line ends: no piece reaches over such a place."""
     names = [p for p, _, k in model.pieces if k in (NORMAL, USER_DEFINED)]
     plain = model.kind == BPE and model.dummy_prefix and model.escape_spaces and not model.remove_extra_spaces and not model.charsmap
-    return plain and not any(MARK in p.lstrip(MARK) or "\n" in p for p in names)
+    return plain and ("<0x0A>", BYTE) in [(p, k) for p, _, k in model.pieces] and model.byte_fallback and not any(MARK in p.lstrip(MARK) or "\n" in p for p in names)
 
 
 def build_tokenizer(model: Model):
@@ -104,7 +103,7 @@ def build_tokenizer(model: Model):
         for piece, score in usable.items():
             cuts = [(piece[:i], piece[i:]) for i in range(1, len(piece))]
             merges += [(-score, ids[a], ids[b], a, b) for a, b in cuts if a in usable and b in usable]
-        core = models.BPE(ids, [m[3:] for m in sorted(merges)], unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=200_000)
+        core = models.BPE(ids, [m[3:] for m in sorted(merges)], unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback, cache_capacity=2000)
     else:
         raise ValueError(f"unsupported kind of model: {model.kind}")
     steps = []
@@ -137,48 +136,56 @@ class Codec:
             from sentencepiece import SentencePieceProcessor
 
             self.judge = SentencePieceProcessor(model_proto=data)
-        self.ids: dict[str, tuple[int, ...]] = {}
-        self.texts: dict[str, str] = {}
-        self.wrong: set[str] = set()
+        self.ids: dict[str, bytes] = {}  # little-endian 32-bit integers of a cut
+        self.odd: set[str] = set()  # cuts that don't decode to themselves
+        self.wrong: set[str] = set()  # cuts about which the library disagrees
         if self.separable:  # cuts carry their markers already
-            from tokenizers import normalizers
+            from tokenizers import Tokenizer
 
-            self.cuts = build_tokenizer(model)
-            self.cuts.normalizer, self.cuts.decoder = normalizers.Sequence([]), self.tokenizer.decoder
+            self.cuts = Tokenizer(self.tokenizer.model)
             self.find = re.compile(CUT).findall
 
     def _learn(self, new: list[str]) -> None:
-        ids = [e.ids for e in self.cuts.encode_batch_fast(new, add_special_tokens=False)]
-        # a marker in front takes the blank that decoding strips
-        texts = self.cuts.decode_batch([[self.lead, *x] for x in ids], skip_special_tokens=False)
-        if self.judge:
-            # with a marker in front a cut is a text of its own, otherwise it follows a line end
-            told = self.judge.encode([c[1:].replace(MARK, " ") if c[0] == MARK else "\n" + c for c in new], num_threads=self.threads)
-            for cut, own, other in zip(new, ids, told, strict=True):
-                if own != (other if cut[0] == MARK else other[2:]) and (cut != MARK or own != [self.lead]):
-                    self.wrong.add(cut)
-        self.ids.update(zip(new, map(tuple, ids), strict=True))
-        self.texts.update(zip(new, texts, strict=True))
-
-    @property
-    def lead(self) -> int:
-        return self.cuts.token_to_id(MARK)
-
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[str], list[bool | None]]:
-        """Ids, the text they decode to, and whether the sentencepiece library agrees, for each text."""
+        """Encode, decode and verify distinct cuts, many in a line: a line end between two of them keeps them apart."""
+        line_end = self.cuts.token_to_id("<0x0A>")
+        self.ids["\n"] = np.array([line_end], "<i4").tobytes()
+        new = [c for c in new if c != "\n"]
+        blocks = [new[i : i + 512] for i in range(0, len(new), 512)]
+        found = self.cuts.encode_batch_fast(["\n".join(b) for b in blocks], add_special_tokens=False)
+        told = self.judge.encode(["\n" + "\n".join(b).replace(MARK, " ") for b in blocks], num_threads=self.threads) if self.judge else [None] * len(blocks)
+        for block, encoding, other in zip(blocks, found, told, strict=True):
+            ids = np.asarray(encoding.ids, "<i4")
+            # in front the decoder strips a blank, and the library sets a marker before the first line end
+            back = self.tokenizer.decode([line_end, *encoding.ids], skip_special_tokens=False)[1:].split("\n")
+            self.odd.update(c for c, t in zip(block, back, strict=True) if t != c.replace(MARK, " "))
+            ends = np.r_[np.flatnonzero(ids == line_end), len(ids)]
+            starts = np.r_[0, ends[:-1] + 1]
+            if other is not None and other[2:] != encoding.ids:
+                theirs = np.asarray(other[2:], "<i4")
+                cuts = np.r_[np.flatnonzero(theirs == line_end), len(theirs)]
+                pairs = zip(block, starts, ends, np.r_[0, cuts[:-1] + 1], cuts, strict=True)
+                self.wrong.update(c for c, i, j, k, m in pairs if not np.array_equal(ids[i:j], theirs[k:m]))
+            self.ids.update((c, ids[i:j].tobytes()) for c, i, j in zip(block, starts.tolist(), ends.tolist(), strict=True))
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool], list[bool | None]]:
+        """Ids as little-endian 32-bit integers, whether they decode to the text, and whether the sentencepiece library agrees."""
         if not self.separable:
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             same = [a == b for a, b in zip(ids, self.judge.encode(texts, num_threads=self.threads), strict=True)] if self.judge else [None] * len(ids)
-            return ids, self.tokenizer.decode_batch(ids, skip_special_tokens=False), same
-        if len(self.ids) > REMEMBERED:
-            self.ids, self.texts, self.wrong = {}, {}, set()
+            back = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+            return [np.asarray(x, "<i4").tobytes() for x in ids], [a == b for a, b in zip(texts, back, strict=True)], same
         cut = [self.find(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        if new := list({c for x in cut for c in x if c not in self.ids}):
+        here = set().union(*cut)
+        if len(self.ids) > REMEMBERED:  # frequent cuts are here too
+            self.ids = {c: self.ids[c] for c in here if c in self.ids}
+            self.odd &= here
+            self.wrong &= here
+        if new := list(here.difference(self.ids)):
             self._learn(new)
-        ids = [list(chain.from_iterable(map(self.ids.__getitem__, x))) for x in cut]
-        back = ["".join(map(self.texts.__getitem__, x))[1:] for x in cut]
-        same = [self.wrong.isdisjoint(x) if self.judge else None for x in cut]
-        return ids, back, same
+        ids = [b"".join(map(self.ids.__getitem__, x)) for x in cut]
+        # the cuts of a text are the text, but that a marker in it reads as a space
+        round_trip = [MARK not in t and self.odd.isdisjoint(x) for t, x in zip(texts, cut, strict=True)]
+        return ids, round_trip, [self.wrong.isdisjoint(x) if self.judge else None for x in cut]
 
 
 def encode_documents(
@@ -202,17 +209,16 @@ def encode_documents(
         for batch in batches:
             for part in chunks(batch):
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                ids, back, same = codec.encode(texts)
-                flat = [np.asarray(x, np.int32) for x in ids]
-                offsets = np.r_[0, np.cumsum([len(x) for x in flat])].astype(np.int32)
-                values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
+                ids, round_trip, same = codec.encode(texts)
+                offsets = np.r_[0, np.cumsum([len(x) // 4 for x in ids])].astype(np.int32)
+                values = np.frombuffer(b"".join(ids), "<i4")
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
                         pa.array(np.diff(offsets)),
-                        pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in flat], pa.string()),
-                        pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
+                        pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                        pa.array(round_trip, pa.bool_()),
                         pa.array(same, pa.bool_()),
                     ],
                     ["doc_id", "token_ids", "n_tokens", "ids_sha256", "round_trip", "parity"],
