@@ -82,12 +82,9 @@ def admit_batch(events: DataFrame, per_minute: int = 10, per_day: int = 100) ->
 
 
 def admit_stream(events: DataFrame, per_minute: int = 10, per_day: int = 100) -> DataFrame:
-    """The same on a stream: state lives between micro-batches and goes after two idle days."""
+    """The same on a stream: a user's state between micro-batches is at most ``per_minute`` times and a day's count."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         recent, day, today = (list(state.get[0]), state.get[1], state.get[2]) if state.exists else ([], -1, 0)
         pdf = pd.concat(list(batches)).sort_values(["at", "event_id"])
         out = []
@@ -95,11 +92,10 @@ def admit_stream(events: DataFrame, per_minute: int = 10, per_day: int = 100) ->
             ok, reason, wait, recent, day, today = decide(int(at), recent, day, today, per_minute, per_day)
             out.append((int(key[0]), int(event), int(at), ok, reason, wait))
         state.update((recent, day, today))
-        state.setTimeoutDuration(2 * 86_400_000)
         yield pd.DataFrame(out, columns=["user_id", "event_id", "at", "admitted", "reason", "retry_after"])
 
     rows = events.select("user_id", "event_id", epoch("ts").alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("user_id").applyInPandasWithState(step, DECISION, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def live_cache(writes: DataFrame, reads: DataFrame, seconds: int) -> DataFrame:

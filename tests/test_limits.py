@@ -39,7 +39,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in range(3):
         whole.where(f"event_id >= {part * 2} and event_id < {part * 2 + 2}").coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
-    running = limits.admit_stream(stream, 2, 100).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").start()
-    running.processAllAvailable()
+    running = limits.admit_stream(stream, 2, 100).writeStream.format("memory").queryName("admitted").option("checkpointLocation", str(tmp_path / "state")).outputMode("append").trigger(availableNow=True).start()
+    assert running.awaitTermination(45)
     running.stop()
     assert spark.table("admitted").count() == 6

@@ -85,7 +85,7 @@ def test_sequences(text, groups, relation, slop, extra):
 
 def test_repeated_words_need_distinct_tokens(spark):
     assert seq.match("alpha", [{"alpha"}, {"alpha"}], "all_terms") is None
-    assert seq.match("alpha … alpha", [{"alpha"}, {"alpha"}], "all_terms")["tokens"] == [0, 1]
+    assert sorted(seq.match("alpha … alpha", [{"alpha"}, {"alpha"}], "all_terms")["tokens"]) == [0, 1]
     with pytest.raises(seq.TooMuchWork):
         seq.match("a " * 100, [{"b"}], "ordered", 50, budget=100)
     df = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, None), (4, "Óne two")], "doc_id int, text string")
