@@ -12,8 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """(a, b) to (node, root): the smallest node of each component, for every node that has an edge to another.
 
     In a round every node hooks to its smallest neighbour, chains of hooks are
-    shortened by pointer jumping, and the edges are contracted to the hooks'
-    ends; edges inside a tree vanish.  Rounds go on until no edge is left.  All
+    shortened to their ends by pointer jumping, and the edges are contracted to
+    these ends; edges inside a tree vanish, and long chains take no more rounds
+    than short ones.  Rounds go on until no edge is left.  All
     steps are joins and aggregations over both sides' checkpoints, so a node with
     very many edges is split like any skewed key.
     """
@@ -21,9 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("root", F.col("node")))
     while edges.limit(1).count():
         hooks = cut(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("to")))
-        for _ in range(2):  # four steps of a chain
+        while True:  # a chain's length halves with every jump
             further = hooks.select(F.col("node").alias("_at"), F.col("to").alias("_to"))
-            hooks = cut(hooks.join(further, F.col("to") == F.col("_at"), "left").select("node", F.coalesce("_to", "to").alias("to")))
+            jumped = cut(hooks.join(further, F.col("to") == F.col("_at"), "left").select("node", F.coalesce("_to", "to").alias("to"), F.col("_to").isNotNull().alias("moved")))
+            hooks = jumped.select("node", "to")
+            if not jumped.where("moved").limit(1).count():
+                break
         labels = cut(labels.join(hooks, F.col("root") == hooks["node"], "left").select(labels["node"], F.coalesce("to", "root").alias("root")))
         left, right = hooks.select(F.col("node").alias("_a"), F.col("to").alias("_ta")), hooks.select(F.col("node").alias("_b"), F.col("to").alias("_tb"))
         moved = (
