@@ -400,7 +400,11 @@ def test_mixing(spark, docs, none):
     assert mixing.mix_sources(none).count() == 0
     mixed = mixing.mixed_documents(frame)
     assert mixed.columns == frame.columns
-    assert sum(len(words(r["text"])) for r in mixed.collect()) == sum(taken.values())
+    given = Counter()  # the draws differ, as rows are told apart by their texts too; the sums don't by more than a document
+    for r in mixed.collect():
+        given[r["source"]] += len(words(r["text"]))
+    for s in sizes:
+        assert abs(given[s] - goals[s]) <= max(len(words(r[1])) for r in rows if r[3] == s)
     assert {r["taken"] for r in mixing.mix_sources(docs.where("doc_id in (5, 6, 7)")).collect()} == {0}
 
 
