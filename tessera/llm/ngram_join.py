@@ -290,7 +290,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     both = pairs.join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
     late = both.select("ra", "rb", "n", "m", "s", "t").mapInArrow(partial(_verify, percent=percent), "a long, b long")
     merged = components(late).toDF("_root", "_top")
-    tops = cut(labels.join(merged, F.col("root") == F.col("_root"), "full").select(F.coalesce("node", "_root").alias("node"), F.coalesce("_top", "root").alias("top")))
+    # two joins that can be split at a hot root, in place of a full one that can't
+    known = labels.join(merged, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_top", "root").alias("top"))
+    tops = cut(known.union(merged.join(labels, F.col("_root") == F.col("node"), "left_anti")))
 
     owned = cut(sets.join(tops, F.col("_key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("top", "_key").alias("_top")))
     names = cut(owned.where("_top is not null").groupBy("_top").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("_top", "_name"))
