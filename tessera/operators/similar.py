@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import heapq
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,19 +39,73 @@ def near_keys(vocabulary: DataFrame, words: DataFrame, rarest: int = 5, most: in
     return near.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "normalized", "distance")
 
 
+def _blocks(words: DataFrame, column: str, most: int = 4096) -> DataFrame:
+    """(size, column): arrays of at most so many words of one length."""
+
+    def grouped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting: dict[int, list[str]] = {}
+        for batch in batches:
+            for word in batch[column]:
+                own = waiting.setdefault(len(word), [])
+                own.append(word)
+                if len(own) == most:
+                    yield pd.DataFrame({"size": [len(word)], column: [waiting.pop(len(word))]})
+        for size, own in waiting.items():
+            yield pd.DataFrame({"size": [size], column: [own]})
+
+    return words.select(column).where(F.col(column).isNotNull()).mapInPandas(grouped, f"size int, {column} array<string>")
+
+
+def _letters(words: list[str], places: int = 128) -> np.ndarray:
+    """A row of counts for each word: its letters, the k-th of a kind apart from the first.  Products of rows are never below the letters shared."""
+    out = np.zeros((len(words), places), np.float32)
+    for row, word in zip(out, words, strict=True):
+        seen: dict[str, int] = {}
+        for c in word:
+            k = seen[c] = seen.get(c, 0) + 1
+            row[(ord(c) + 37 * (k - 1)) % places] += 1
+    return out
+
+
 def close_matches(vocabulary: DataFrame, words: DataFrame, ratio: float = 0.72, n: int = 8, band: int = 2) -> DataFrame:
-    """The n closest spellings by matching blocks, among keys of about the same length and the same first letter."""
+    """The n closest spellings by matching blocks, among all keys whose length is within the band: difflib.get_close_matches, less the word itself.
+
+    Blocks of words meet blocks of keys.  The letters that two words share bound
+    their ratio from above; only pairs whose bound reaches the ratio and the n-th
+    best so far are matched.
+    """
 
-    @F.pandas_udf("double")
-    def matching(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([round(difflib.SequenceMatcher(None, y, x).ratio(), 6) for x, y in zip(a, b, strict=True)])
+    def matched(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[str, list[tuple[float, str]]] = {}
+        for batch in batches:
+            for asked, keys in zip(batch["word"], batch["normalized"], strict=True):
+                asked, keys = list(asked), list(keys)
+                bounds = 2 * (_letters(asked) @ _letters(keys).T) / (len(asked[0]) + len(keys[0])) + 1e-5
+                for word, bound in zip(asked, bounds, strict=True):
+                    own = best.setdefault(word, [])
+                    found = np.flatnonzero(bound >= max(ratio, own[0][0] if len(own) == n else 0))
+                    if not len(found):
+                        continue
+                    matcher = difflib.SequenceMatcher()
+                    matcher.set_seq2(word)
+                    for at in found[np.argsort(-bound[found])]:
+                        if len(own) == n and bound[at] < own[0][0]:
+                            break
+                        if keys[at] == word:
+                            continue
+                        matcher.set_seq1(keys[at])
+                        if (score := matcher.ratio()) >= ratio:
+                            (heapq.heappush if len(own) < n else heapq.heappushpop)(own, (score, keys[at]))
+        rows = [(word, key, score) for word, own in best.items() for score, key in own]
+        yield pd.DataFrame(rows, columns=["word", "normalized", "ratio"])
 
     # one row for each length in the band, so that the join is an equality
-    banded = words.select("word", F.explode(F.sequence(F.length("word") - band, F.length("word") + band)).alias("size"), F.substring("word", 1, 1).alias("head"))
-    keyed = vocabulary.select("normalized", F.length("normalized").alias("size"), F.substring("normalized", 1, 1).alias("head"))
-    scored = banded.join(keyed, ["size", "head"]).where("word != normalized").withColumn("ratio", matching("word", "normalized")).where(F.col("ratio") >= ratio)
-    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("ratio"), "normalized"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("word", "normalized", "ratio", "rank")
+    banded = _blocks(words, "word").select("word", F.explode(F.sequence(F.col("size") - band, F.col("size") + band)).alias("size"))
+    met = banded.join(_blocks(vocabulary, "normalized"), "size").select("word", "normalized")
+    parts = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    scored = met.repartition(parts).mapInPandas(matched, "word string, normalized string, ratio double")
+    rank = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("ratio"), F.desc("normalized")))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("word", "normalized", F.round("ratio", 6).alias("ratio"), "rank")
 
 
 def shingle_pairs(texts: DataFrame, similarity: float = 0.25, length_ratio: float = 0.8, width: int = 5) -> DataFrame:

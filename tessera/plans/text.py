@@ -209,9 +209,9 @@ def _spelling(word: Column) -> Column:
     return F.replace(strip_marks(word), F.lit("ß"), F.lit("ss"))
 
 
-def _benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _benchmark_words(spark: SparkSession, sf_dir: str, which: str = "true") -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select(F.explode(letter_words(F.col("text"))).alias("w"))
-    return words.where("length(w) between 5 and 7").select(_spelling(F.col("w")).alias("word")).distinct()
+    return words.where(which).select(_spelling(F.col("w")).alias("word")).distinct()
 
 
 @query(f"""WITH {_TOKENS}, voc AS (SELECT DISTINCT replace(strip_accents(normalized), 'ß', 'ss') AS normalized FROM tok), {_WORDS},
@@ -225,13 +225,13 @@ def _benchmark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 def levenshtein_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = lexical.token_table(table(spark, sf_dir, "documents")).select("normalized").distinct()
     vocabulary = vocabulary.select(_spelling(F.col("normalized")).alias("normalized")).distinct()
-    return similar.near_keys(vocabulary, _benchmark_words(spark, sf_dir))
+    return similar.near_keys(vocabulary, _benchmark_words(spark, sf_dir, "length(w) between 5 and 7"))
 
 
 @query()
 def difflib_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close spellings by matching blocks: what no SQL function computes."""
-    vocabulary = lexical.token_table(table(spark, sf_dir, "documents")).groupBy("normalized").agg(F.sum("count").alias("n")).where("n >= 2").select("normalized")
+    vocabulary = lexical.token_table(table(spark, sf_dir, "documents")).select("normalized").distinct()
     return similar.close_matches(vocabulary, _benchmark_words(spark, sf_dir))
 
 
