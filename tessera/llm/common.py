@@ -15,12 +15,14 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a local one only where none is set."""
+    """The shared checkpoint folder of the session; a local one only where none is set and the master is local."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if folder is None:
         folder = context.getCheckpointDir()
         if folder is None:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
             folder = tempfile.mkdtemp(prefix="checkpoint-")
             context.setCheckpointDir(folder)
     elif context.getCheckpointDir() is None:
@@ -42,6 +44,14 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_stored(table: DataFrame) -> None:
+    """Delete the files of a ``stored`` table that nothing reads any more."""
+    context = table.sparkSession.sparkContext
+    for folder in {name.rpartition("/")[0] for name in table.inputFiles()}:
+        path = context._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
