@@ -1,12 +1,16 @@
 """Text quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
 Every whole text becomes counts of hashed byte trigrams, damped and weighted by
-rarity, beside a few shares that tell its shape (repeated words, capitals,
-symbols), and is projected to a few latent dimensions.  The projection and the
+rarity, and is projected to a few latent dimensions.  The projection and the
 labelled vectors come from a bounded sample of labelled rows (``max_labelled``),
 so both can be broadcast whatever the size of the corpus.  Each document is
 compared with every labelled vector by exact cosine, in blocks, and its nearest
 neighbours vote with their similarity.
+
+Weights, projection and vectors are whole numbers in double precision, small
+enough for every sum of products to be exact.  So a text's score doesn't depend
+on the block it is scored in, and equally similar neighbours are truly equal:
+the order of their identifiers decides between them.
 """
 
 from __future__ import annotations
@@ -19,23 +23,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.tokens import chunks, mix, words_of
+from tessera.llm.tokens import chunks, mix, raw
 
-FEATURES, SHAPES = 2048, 6
-#: Length of the shape shares against the trigrams' unit length.
-SHAPE_WEIGHT = 2.0
-_UPPER, _DIGIT, _SYMBOL = np.zeros(256), np.zeros(256), np.zeros(256)
-_UPPER[65:91] = _DIGIT[48:58] = 1
-_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
+FEATURES = 2048
+#: Steps of 1 in which weights, projection and vectors are counted.
+GRAIN = 1 << 12
 
 
 def text_features(texts: pa.Array, features: int = FEATURES) -> np.ndarray:
-    """Damped counts (texts x features) of hashed byte trigrams within each text, then SHAPES shares of each text."""
-    words = words_of(texts)
-    data, offsets = words.data, words.offsets
+    """Damped counts (texts x features) of hashed byte trigrams within each text; shorter texts have none."""
+    data, offsets = raw(texts)
     n = len(offsets) - 1
     if len(data) < 3:
-        return np.zeros((n, features + SHAPES), np.float32)
+        return np.zeros((n, features), np.float32)
     table = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(7)) % np.uint64(features)).astype(np.uint32)
     wide = data.astype(np.uint32)
     codes = table[(wide[:-2] << 8) | wide[1:-1]] + wide[2:] * np.uint32(269)
@@ -43,62 +43,50 @@ def text_features(texts: pa.Array, features: int = FEATURES) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(offsets))
     within = owner[:-2] == owner[2:]
     flat = owner[:-2] * features + codes
-    counts = np.bincount(flat[within], minlength=n * features).reshape(n, features)
-
-    size = np.maximum(np.diff(offsets), 1)
-    amount = np.diff(words.bounds)
-    of = np.repeat(np.arange(n), amount)
-    same = np.zeros(len(of), bool)
-    same[1:] = (words.hashes[1:] == words.hashes[:-1]) & (of[1:] == of[:-1])
-    order = np.lexsort((words.hashes, of))
-    again = np.zeros(len(of), bool)
-    again[1:] = (words.hashes[order][1:] == words.hashes[order][:-1]) & (of[order][1:] == of[order][:-1])
-    share = lambda mask, whose, base: np.bincount(whose, weights=mask, minlength=n) / np.maximum(base, 1)
-    shapes = [
-        share(same, of, amount),
-        share(again, of[order], amount),
-        share(_UPPER[data], owner, size),
-        share(_SYMBOL[data], owner, size),
-        share(_DIGIT[data], owner, size),
-        np.minimum(np.log1p(size) / 20, 1) * 0.3,
-    ]
-    return np.concatenate([np.log1p(counts), np.stack(shapes, axis=1)], axis=1).astype(np.float32)
+    return np.log1p(np.bincount(flat[within], minlength=n * features).reshape(n, features)).astype(np.float32)
+
+
+def _grains(x: np.ndarray) -> np.ndarray:
+    """Rows of unit length, in whole steps; rows of zeros stay."""
+    length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return np.rint(x / np.where(length > 0, length, 1) * GRAIN)
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    x = counts[:, :-SHAPES] * idf
-    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    return np.concatenate([x, counts[:, -SHAPES:] * SHAPE_WEIGHT], axis=1)
+    return _grains(counts.astype(np.float64) * idf)
 
 
 def latent(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    z = x @ projection
-    return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+    return _grains(x @ projection)
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 64) -> dict[str, np.ndarray]:
     """Rarity weights, projection and labelled vectors."""
-    known = (counts[:, :-SHAPES] > 0).sum(axis=0)
-    idf = np.log((1 + len(counts)) / (1 + known)).astype(np.float32) + 1
+    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
     x = weighted(counts, idf)
-    values, vectors = np.linalg.eigh((x.T @ x).astype(np.float64)) if len(x) else (np.zeros(1), np.zeros((counts.shape[1], 1)))
-    projection = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions], np.float32)
-    return {"idf": idf, "projection": projection, "vectors": latent(x, projection), "labels": labels.astype(np.float32)}
+    values, vectors = np.linalg.eigh(x.T @ x) if len(x) else (np.zeros(1), np.zeros((counts.shape[1], 1)))
+    projection = np.ascontiguousarray(np.rint(vectors[:, ::-1][:, :dimensions] * GRAIN))
+    return {"idf": idf, "projection": projection, "vectors": latent(x, projection), "labels": labels.astype(np.float64)}
+
+
+def nearest(similar: np.ndarray, k: int) -> np.ndarray:
+    """Whether each column is among the k largest of its row; of equal ones, those further left."""
+    least = np.partition(similar, similar.shape[1] - k, axis=1)[:, similar.shape[1] - k :][:, :1]
+    above, level = similar > least, similar == least
+    return above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
 
 
 def vote(counts: np.ndarray, model: dict[str, np.ndarray], neighbours: int = 25, power: float = 8.0) -> np.ndarray:
-    """Share of the label 1 among the nearest labelled vectors, weighted by similarity; no similarity at all: their overall share."""
+    """Share of the label 1 among the nearest labelled vectors, weighted by similarity; texts without features and without similar neighbours: the overall share."""
     labels, vectors = model["labels"], model["vectors"]
-    overall = float(labels.mean()) if len(labels) else 0.0
     if len(labels) == 0:
         return np.zeros(len(counts))
     z = latent(weighted(counts, model["idf"]), model["projection"])
-    similar = z @ vectors.T
-    k = min(neighbours, len(labels))
-    near = np.argpartition(-similar, k - 1, axis=1)[:, :k]
-    weight = np.maximum(np.take_along_axis(similar, near, axis=1), 0).astype(np.float64) ** power
+    similar = np.maximum(z @ vectors.T, 0) / GRAIN**2
+    weight = np.where(nearest(similar, min(neighbours, len(labels))), similar, 0) ** power
     total = weight.sum(axis=1)
-    return np.where(total > 0, (weight * labels[near]).sum(axis=1) / np.where(total > 0, total, 1), overall).clip(0, 1)
+    share = (weight * labels).sum(axis=1) / np.where(total > 0, total, 1)
+    return np.where((total > 0) & (counts > 0).any(axis=1), share, labels.mean()).clip(0, 1)
 
 
 def labelled_model(docs: DataFrame, labels: DataFrame, learn: Column, max_labelled: int = 4096, dimensions: int = 64) -> dict[str, np.ndarray]:
@@ -123,35 +111,37 @@ def labelled_model(docs: DataFrame, labels: DataFrame, learn: Column, max_labell
                 x = [f.astype(np.float16).tobytes() for f in text_features(part.column(0))]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x, pa.binary()), part.column(2)], ["id", "x", "y"])
 
+    # rows that repeat an identifier give one row, whatever their number: that of the smallest features
     found = texts.select("text", F.col("_labelled").cast("string"), "_quality").mapInArrow(features, "id string, x binary, y double")
-    by_id = {r["id"]: r for r in found.toLocalIterator()}
-    order = sorted(by_id)
-    counts = np.array([np.frombuffer(by_id[i]["x"], np.float16) for i in order], np.float32).reshape(len(order), FEATURES + SHAPES)
-    return fit(counts, np.array([by_id[i]["y"] for i in order]), dimensions)
+    rows = found.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").collect()  # at most max_labelled
+    counts = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), FEATURES)
+    return fit(counts, np.array([r["y"] for r in rows]), dimensions)
 
 
 def score_quality(
-    docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, max_labelled: int = 4096, neighbours: int = 25, dimensions: int = 64
+    docs: DataFrame, labels: DataFrame, learn: Column, threshold: float = 0.7, max_labelled: int = 4096, neighbours: int = 25, dimensions: int = 64, score_col: str = "_score", predicted_col: str = "_predicted"
 ) -> DataFrame:
-    """All columns of the documents and ``_score``, ``_predicted`` (1 if the score reaches the threshold, else 0).
+    """All columns of the documents and two more: the score, and 1 if it reaches the threshold, else 0.
 
     Only texts are looked at.  Null, empty and very short texts have no features
     and get the overall share of the label 1; so do all texts if no row is
     labelled (share 0).  Equal texts have equal scores.  Columns keep their names
-    and types; an empty table gives an empty result.
+    and types; a column that has the name of one of the two is an error.  An
+    empty table gives an empty result.
     """
+    if clash := {score_col, predicted_col} & set(docs.columns):
+        raise ValueError(f"documents have a column {sorted(clash)}: give score_col and predicted_col other names")
     model = labelled_model(docs, labels, learn, max_labelled, dimensions)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, StructField("_score", DoubleType()), StructField("_predicted", IntegerType())])
+    schema = StructType([*docs.schema.fields, StructField(score_col, DoubleType()), StructField(predicted_col, IntegerType())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, at):
-                # rounded, so that the sum's order in a block of another size can't part equal texts
                 s = np.round(vote(text_features(part.column(at)), shared.value, neighbours), 6)
                 more = [pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())]
-                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "_score", "_predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, score_col, predicted_col])
 
     return docs.mapInArrow(score, schema)
 
