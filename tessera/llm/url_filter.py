@@ -83,14 +83,16 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_co
     numbered = cut(numbered)
     starts = numbered.groupBy("_block").agg(F.min("_key").alias("_from"))
     bounds = starts.agg(F.array_sort(F.collect_list("_from")).alias("_bounds"))
+    # no rule has more labels than this, so longer suffixes of a host meet none
+    deepest = stacks.agg(F.coalesce(F.max(F.size(F.split(F.split_part("_key", F.lit(MARK), F.lit(1)), "\\."))), F.lit(1)).alias("_deepest"))
 
     host, path = split_url(F.col(url_col))
     judged = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path")).withColumn("_row", F.monotonically_increasing_id())
-    labels = F.split("host", "\\.")
-    backwards = F.reverse(labels)
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(backwards, 1, n), ".").alias("h")))
+    backwards = F.reverse(F.split("host", "\\."))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size("_labels")), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_labels", 1, n), ".").alias("h")))
     keyed = (
-        judged.crossJoin(F.broadcast(bounds))  # one row
+        judged.crossJoin(F.broadcast(bounds.crossJoin(deepest)))  # one row
+        .withColumn("_labels", F.slice(backwards, F.lit(1), F.col("_deepest")))
         .select("page_id", "host", "path", "_row", "_bounds", F.explode(suffixes).alias("_s"))
         .withColumn("_key", F.concat(F.col("_s.h"), F.lit(MARK), "path"))
         .withColumn("_block", F.greatest(F.size(F.filter("_bounds", lambda b: b <= F.col("_key"))) - 1, F.lit(0)))
