@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm.common import cut, lower_ascii, words
 
@@ -19,7 +20,8 @@ from tessera.llm.common import cut, lower_ascii, words
 SCALE = 4
 #: Digits of a hash in a fingerprint string.
 DIGITS = 12
-#: Documents in a block of the walk in doc_id order, and the largest number of blocks.
+#: Documents in a block of the walk in doc_id order, and the largest number of blocks: it bounds what is
+#: broadcast (512 KB); with more documents than both together, blocks grow, and a window spills.
 BLOCK, MOST_BLOCKS = 1024, 1 << 16
 
 
@@ -75,8 +77,10 @@ def likeness(a: Column, b: Column, text_a: Column, text_b: Column) -> Column:
 
 
 def _blocked(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    block = F.size(F.filter("_bounds", lambda b: b <= F.col("doc_id")))
-    return rows.crossJoin(F.broadcast(bounds)).withColumn("_block", block).drop("_bounds")  # bounds: one row
+    """Add the number of bounds that are not above the identifier, by bisection: sixteen looks at most, however many bounds there are."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(MOST_BLOCKS.bit_length()))])
+    found = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_bounds", at + step - 1) <= F.col("doc_id"), at + step).otherwise(at))
+    return rows.crossJoin(F.broadcast(bounds)).withColumn("_block", found).drop("_bounds")  # bounds: one row
 
 
 def _next_rows(rows: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -100,9 +104,16 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     next.  An empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    blocks = max(1, min(rows.count() // BLOCK, MOST_BLOCKS))
-    at = F.approx_percentile("doc_id", [i / blocks for i in range(blocks)], F.lit(max(1000, 10 * blocks)))
-    bounds = cut(rows.agg(at.alias("at")).select(F.coalesce(F.array_distinct("at"), F.expr("cast(array() as array<bigint>)")).alias("_bounds")))
+    kind = rows.schema["doc_id"].dataType
+    if isinstance(kind, IntegralType):
+        blocks = max(1, min(rows.count() // BLOCK, MOST_BLOCKS))
+        at = F.approx_percentile("doc_id", [i / blocks for i in range(blocks)], F.lit(max(1000, 10 * blocks)))
+        bounds = rows.agg(at.alias("at")).select(F.array_distinct("at").alias("_bounds"))
+    else:  # identifiers that have no percentiles: bounds are drawn from the rows, a few thousand of them
+        total = max(1, rows.count())
+        drawn = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(max(1, total // 4096))) == 0).select("doc_id").distinct()
+        bounds = drawn.agg(F.array_sort(F.collect_list("doc_id")).alias("_bounds"))
+    bounds = cut(bounds.select(F.coalesce("_bounds", F.expr(f"cast(array() as array<{kind.simpleString()}>)")).alias("_bounds")))
     rows = rows.withColumn("_check", F.xxhash64("text"))
     linked = _next_rows(rows.withColumn("_sketch", sketch(F.col("text"), width, scale)), bounds)
 
@@ -110,10 +121,11 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ahead = F.struct(F.col("doc_id").isNotNull().alias("known"), F.col("doc_id").alias("id"), F.col("_check").alias("check"))
     heads = cut(_blocked(rows, bounds).groupBy("_block").agg(F.min(ahead).alias("_head")))  # one row for each block
     same = rows["doc_id"].eqNullSafe(heads["_head.id"]) & (rows["_check"] == heads["_head.check"])
-    heads = cut(rows.join(F.broadcast(heads), same).groupBy("_block").agg(F.first("text").alias("_text")))
-    around = Window.orderBy("_block")
+    around = Window.orderBy("_block")  # of blocks, MOST_BLOCKS at most
     before = F.coalesce(F.lag("_block").over(around), F.max("_block").over(Window.partitionBy()))
-    follow = cut(heads.select(before.alias("_block_"), F.struct(F.col("_text").alias("text"), sketch(F.col("_text"), width, scale).alias("_sketch")).alias("_follow")))
+    heads = cut(heads.withColumn("_block_", before))
+    heads = rows.join(F.broadcast(heads), same).groupBy("_block_").agg(F.first("text").alias("_text"))
+    follow = cut(heads.select("_block_", F.struct(F.col("_text").alias("text"), sketch(F.col("_text"), width, scale).alias("_sketch")).alias("_follow")))
     joined = linked.join(follow, F.col("_block") == F.col("_block_"), "left")
     after = F.coalesce(F.col("_next"), F.col("_follow"))
     n = F.length("text")
