@@ -69,7 +69,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.sentencepiece_codec import encode_documents
 
-    return encode_documents(table(spark, sf_dir, "documents"), MODEL_FILE).drop("token_ids")
+    return encode_documents(table(spark, sf_dir, "documents"), MODEL_FILE)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
