@@ -23,8 +23,9 @@ from tessera.llm.sentencepiece_codec import encode_documents
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_quality(docs, labels, ~held_out(F.col("doc_id")))
-    return scored.where("_predicted = 1").select(*docs.columns)
+    free = [n for n in (f"_quality_{k}" for k in range(len(docs.columns) + 2)) if n not in docs.columns]
+    scored = score_quality(docs, labels, ~held_out(F.col("doc_id")), score_col=free[0], predicted_col=free[1])
+    return scored.where(F.col(free[1]) == 1).select(*docs.columns)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
