@@ -72,3 +72,12 @@ def incremental(rows: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFr
 def coverage(rows: DataFrame, by: Sequence[str], over: str, values: Sequence[str]) -> DataFrame:
     """Counts of each value side by side, and in all."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(over) == v).alias(f"n_{v}") for v in values])
+
+
+def reconcile(rows: DataFrame, found: DataFrame, by: str, *more: Column) -> DataFrame:
+    """Per group: rows, how many the other store has, their share and whether that is all, some or none."""
+    own = rows.groupBy(by).agg(F.count(F.lit(1)).alias("rows"), *more)
+    other = found.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_present"))
+    joined = own.join(other, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("present", F.coalesce("_present", F.lit(0)))
+    state = F.when(F.col("present") == 0, "missing").when(F.col("present") < F.col("rows"), "partial").otherwise("complete")
+    return joined.withColumns({"share": F.round(F.col("present") / F.col("rows"), 4), "state": state}).drop("_by", "_present")

@@ -45,14 +45,16 @@ def mirror_groups(rows: DataFrame, key: Sequence[str], order: Sequence[Column],
     With ``coarse``, rows carry (priority, matched), and the best of each is
     taken over the coarser groups.
     """
-    group = Window.partitionBy(*key)
-    first = F.row_number().over(group.orderBy(*order))
-    added = {"_first": first, "copies": F.count(F.lit(1)).over(group), "_ids": F.array_sort(F.collect_list(id_col).over(group))}
+    # the first of a group is carried through an aggregation: no row but one sees the list of identifiers
+    told = [c for c in rows.columns if c not in key]
+    best = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    first = rows.withColumn("_first", best).where("_first = 1").select(*[F.col(k).alias(f"_k_{k}") for k in key], *told)
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("copies"), F.array_sort(F.collect_list(id_col)).alias("_ids"))
+    kept = sizes.join(first, F.expr(" and ".join(f"{k} <=> _k_{k}" for k in key))).select(*rows.columns, "copies", "_ids")
     if coarse:
-        wide = Window.partitionBy(*coarse)
-        added |= {"group_priority": F.min("priority").over(wide), "group_matched": F.max("matched").over(wide)}
-    kept = rows.withColumns(added).where("_first = 1")
-    return kept.withColumn("mirrored_ids", F.array_join(F.array_remove("_ids", F.col(id_col)), ",")).drop("_first", "_ids")
+        ranks = rows.groupBy(*[F.col(c).alias(f"_c_{c}") for c in coarse]).agg(F.min("priority").alias("group_priority"), F.max("matched").alias("group_matched"))
+        kept = kept.join(ranks, F.expr(" and ".join(f"{c} <=> _c_{c}" for c in coarse))).drop(*[f"_c_{c}" for c in coarse])
+    return kept.withColumn("mirrored_ids", F.array_join(F.array_remove("_ids", F.col(id_col)), ",")).drop("_ids")
 
 
 def page(rows: DataFrame, order: Sequence[Column], offset: int, limit: int) -> DataFrame:

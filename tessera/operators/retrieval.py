@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,20 +22,41 @@ def dense_top_k(vectors: DataFrame, query: Sequence[float], k: int, eligible: Co
     return rows.withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """Exact nearest neighbours of a bounded set of query vectors (query_id, query_vector) among all vectors.
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
+    """Exact nearest neighbours of each of (query_id, query_vector) among all vectors, by cosine rounded to six digits; ties go to the smaller identifier.
 
-    The queries are sent to all partitions; each keeps k rows for a query by a
-    partial aggregation before anything is shuffled.
+    Queries and vectors are packed into blocks of ``block`` rows, and every block
+    of queries meets every block of vectors; a meeting is one product of matrices
+    in double precision and hands on k rows for a query.  So what a task holds is
+    two blocks, whatever the number of either, and nothing is broadcast.
     """
-    scored = vectors.crossJoin(F.broadcast(queries)).where(F.col("query_id") != F.col(id_col))
-    pair = F.struct((-F.round(cosine(F.col(vector_col), F.col("query_vector")), 6)).alias("minus"), F.col(id_col).alias("id"))
-    salted = scored.select("query_id", pair.alias("pair"), F.pmod(F.xxhash64(id_col), F.lit(64)).alias("salt"))
-    top = lambda rows, *by: rows.groupBy(*by).agg(F.slice(F.array_sort(F.collect_list("pair")), 1, k).alias("top")).select("query_id", F.explode("top").alias("pair"))
-    inner = salted.withColumn("_n", F.row_number().over(Window.partitionBy("query_id", "salt").orderBy("pair"))).where(F.col("_n") <= k)
-    best = top(inner, "query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("pair"))
-    return best.select("query_id", F.col("pair.id").alias("neighbour"), (-F.col("pair.minus")).alias("score"), rank.alias("rank"))
+
+    def packed(rows: DataFrame, name: str, vector: str, blocks: str) -> DataFrame:
+        own = rows.select(F.col(name).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
+        parts = max(1, -(-own.count() // block))
+        return own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias(blocks))
+
+    def meet(batches):
+        for pdf in batches:
+            for asked, given in zip(pdf["asked"], pdf["given"], strict=True):
+                ids = np.array([g["id"] for g in given])
+                x, y = np.array([a["v"] for a in asked], float), np.array([g["v"] for g in given], float)
+                scores = x @ y.T / np.maximum(np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :], 1e-300)
+                for a, own in zip(asked, np.round(scores, 6), strict=True):
+                    own = np.where(ids == a["id"], -np.inf, own)
+                    best = np.lexsort((ids, -own))[:k]
+                    best = best[own[best] > -np.inf]
+                    yield pd.DataFrame({"query_id": a["id"], "neighbour": ids[best], "score": own[best]})
+
+    left, right = packed(queries, "query_id", "query_vector", "asked"), packed(vectors, id_col, vector_col, "given")
+    kind = vectors.schema[id_col].dataType.simpleString()
+    # blocks meet by an equality: each block of queries has a row for every block of vectors
+    numbers = right.agg(F.max("part").alias("_most"))
+    dealt = left.drop("part").crossJoin(F.broadcast(numbers)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_most").cast("int")))).drop("_most")  # numbers: one row
+    met = dealt.withColumn("part", F.col("part").cast("long")).join(right, "part").select("asked", "given")
+    found = met.mapInPandas(meet, f"query_id {kind}, neighbour {kind}, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def reciprocal_rank_fusion(lists: DataFrame, weights: dict[str, float] | None = None, k: int = RRF_CONSTANT) -> DataFrame:

@@ -17,26 +17,28 @@ from tessera.functions.text import shingles, trigrams
 def near_keys(vocabulary: DataFrame, words: DataFrame, rarest: int = 5, most: int = 80) -> DataFrame:
     """(word) against (normalized): keys within 1 edit (words shorter than 6) or 2, nearest first.
 
-    Candidates share one of the word's rarest trigrams; words shorter than 5
-    share the first letter and nearly the length.  Levenshtein distance decides.
+    Candidates share one of the word's rarest trigrams; words shorter than 5, and
+    keys shorter than 5 of words of up to 6, share the first letter and nearly the
+    length.  Length and Levenshtein distance decide before candidates are made
+    distinct, so that what is shuffled is what is near.
     """
     cutoff = F.when(F.length("word") < 6, 1).otherwise(2)
     asked = words.select("word", cutoff.alias("cutoff"), F.length("word").alias("size"))
-    postings = vocabulary.select("normalized", F.explode(F.array_distinct(trigrams(F.col("normalized")))).alias("gram"))
-    grams = asked.where("size >= 5").select("word", "cutoff", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
+    grams = asked.where("size >= 5").select("word", "cutoff", "size", F.explode(F.array_distinct(trigrams(F.col("word")))).alias("gram"))
     wanted = grams.select("gram").distinct()
-    sizes = postings.join(wanted, "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("postings"))
+    postings = vocabulary.select("normalized", F.length("normalized").alias("long"), F.explode(F.array_distinct(trigrams(F.col("normalized")))).alias("gram"))
+    sizes = postings.join(wanted, "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("postings"))
     order = Window.partitionBy("word").orderBy("postings", "gram")
-    rare = grams.join(sizes, "gram").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rarest)
-    long = rare.join(postings, "gram").select("word", "cutoff", "normalized")
-    short = asked.where("size < 5").join(
-        vocabulary.select("normalized"),
-        (F.substring("word", 1, 1) == F.substring("normalized", 1, 1)) & F.length("normalized").between(F.col("size") - F.col("cutoff"), F.col("size") + F.col("cutoff")),
-    )
-    pool = long.union(short.select("word", "cutoff", "normalized")).distinct()
-    near = pool.withColumn("distance", F.levenshtein("word", "normalized")).where("distance <= cutoff")
+    rare = grams.join(sizes, "gram").withColumn("n", F.row_number().over(order)).where(F.col("n") <= rarest).drop("n", "postings")
+    near = lambda rows: rows.select("word", "normalized", F.levenshtein("word", "normalized", 2).alias("distance"), "cutoff").where("distance between 0 and cutoff").select("word", "normalized", "distance")
+    long = near(rare.join(postings, (rare["gram"] == postings["gram"]) & (F.abs(F.col("long") - F.col("size")) <= F.col("cutoff"))))
+    # short words, and short keys of words of up to six letters, by first letter and length
+    keys = vocabulary.select("normalized", F.substring("normalized", 1, 1).alias("first"), F.length("normalized").alias("long"))
+    lengths = asked.where("size <= 6").select("word", "cutoff", "size", F.substring("word", 1, 1).alias("first"), F.explode(F.sequence(F.col("size") - F.col("cutoff"), F.col("size") + F.col("cutoff"))).alias("long"))
+    short = near(lengths.where("size < 5 or long < 5").join(keys, ["first", "long"]))
+    pool = long.union(short).distinct()
     rank = F.row_number().over(Window.partitionBy("word").orderBy("distance", "normalized"))
-    return near.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "normalized", "distance")
+    return pool.withColumn("rank", rank).where(F.col("rank") <= most).select("word", "normalized", "distance")
 
 
 def _blocks(words: DataFrame, column: str, most: int = 4096) -> DataFrame:
@@ -108,19 +110,50 @@ def close_matches(vocabulary: DataFrame, words: DataFrame, ratio: float = 0.72,
     return scored.withColumn("rank", rank).where(F.col("rank") <= n).select("word", "normalized", F.round("ratio", 6).alias("ratio"), "rank")
 
 
-def shingle_pairs(texts: DataFrame, similarity: float = 0.25, length_ratio: float = 0.8, width: int = 5) -> DataFrame:
-    """(id, text) of short texts to pairs (a, b, shared, jaccard) of distinct character shingles.
+def shingle_pairs(texts: DataFrame, similarity: float = 0.25, length_ratio: float = 0.8, width: int = 5, buckets: int = 1 << 16, words: bool = False) -> DataFrame:
+    """(id, text) to pairs (a, b, shared, jaccard) of distinct shingles of ``width`` characters, or words.
 
-    Only a text's first 1 - similarity share of shingles, in one global order,
-    is matched (prefix filter); the exact overlap follows on the pairs.
+    Only a text's first 1 - similarity share of shingles, in one global order, is
+    matched (prefix filter); the order puts shingles of rarer buckets of hashes
+    first, so that common ones are matched least.  The exact overlap follows on
+    the pairs.  The counts of buckets are a table of fixed size.
     """
-    sets = texts.select("id", F.length("text").alias("length"), F.array_sort(F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s))).alias("grams"))
-    sets = sets.withColumn("size", F.size("grams"))
-    prefix = sets.select("id", "length", "size", F.explode(F.slice("grams", F.lit(1), F.col("size") - F.ceil(F.col("size") * similarity).cast("int") + 1)).alias("gram"))
+    if words:
+        # bound by a lambda, so that a text is split once and not for each of its shingles
+        runs = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - (width - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(w, i, F.lit(width))))
+        split = F.transform(F.split(F.trim("text"), "\\s+"), lambda w: F.xxhash64(w))
+        hashed = texts.select("id", F.length("text").alias("length"), F.array_distinct(F.element_at(F.transform(F.array(split), runs), 1)).alias("grams"))
+    else:
+        hashed = texts.select("id", F.length("text").alias("length"), F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s)).alias("grams"))
+    counts = hashed.select(F.explode("grams").alias("gram")).groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    own = hashed.select("id", "length", F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("bucket", F.pmod("gram", F.lit(buckets)))
+    placed = own.join(F.broadcast(counts), "bucket").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n", "gram")))
+    prefix = placed.where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * similarity) + 1).select("id", "length", "size", "gram")
     x, y = prefix.alias("x"), prefix.alias("y")
     fits = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.length", "y.length") >= F.greatest("x.length", "y.length") * length_ratio)
-    pairs = x.join(y, fits).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    one, two = sets.select(F.col("id").alias("a"), F.col("grams").alias("ga")), sets.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
+    pairs = x.join(y, fits & (F.least("x.size", "y.size") >= F.greatest("x.size", "y.size") * similarity)).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    one, two = hashed.select(F.col("id").alias("a"), F.col("grams").alias("ga")), hashed.select(F.col("id").alias("b"), F.col("grams").alias("gb"))
     shared = F.size(F.array_intersect("ga", "gb"))
     scored = pairs.join(one, "a").join(two, "b").select("a", "b", shared.alias("shared"), (shared / (F.size("ga") + F.size("gb") - shared)).alias("jaccard"))
     return scored.where(F.col("jaccard") >= similarity).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def near_duplicate_texts(texts: DataFrame, ratio: float = 0.85, length_ratio: float = 0.8, width: int = 3, similarity: float = 0.25) -> DataFrame:
+    """(id, text) to pairs (a, b, jaccard, ratio) whose matching blocks of words cover at least ``ratio`` of both texts.
+
+    Blocks are of words, not characters: in characters, long texts take a time
+    that grows with the square of their length.
+
+    Only texts whose shingles of three words reach ``similarity`` are compared: where
+    15 of 100 words are changed, each apart, a similarity of about 0.4 is left.
+    """
+
+    @F.pandas_udf("double")
+    def blocks(a: pd.Series, b: pd.Series) -> pd.Series:
+        words = ((x.split(), y.split()) for x, y in zip(a, b, strict=True))
+        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if 2 * min(len(x), len(y)) >= ratio * (len(x) + len(y)) else 0.0 for x, y in words])
+
+    pairs = shingle_pairs(texts, similarity, length_ratio, width, words=True)
+    one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("_b"))
+    scored = pairs.join(one, "a").join(two, "b").select("a", "b", "jaccard", blocks("_a", "_b").alias("ratio"))
+    return scored.where(F.col("ratio") >= ratio).withColumn("ratio", F.round("ratio", 6))

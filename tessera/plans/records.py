@@ -145,13 +145,13 @@ def exact_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared.groupBy("doc_id").agg(F.count(F.lit(1)).alias("shared_lines"), F.max("documents").alias("documents"), F.min("first_id").alias("first_id"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_orderkey * 10 + l_linenumber AS id FROM lineitem), s AS (SELECT * FROM a WHERE l_orderkey <= 100),
+@query("""WITH a AS (SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_orderkey * 8 + l_linenumber AS id FROM lineitem), s AS (SELECT * FROM a WHERE id % 20 = 0),
     r AS (SELECT s.id AS seed_id, a.id AS related_id, 1 AS priority FROM s JOIN a ON s.l_orderkey = a.l_orderkey WHERE s.id <> a.id UNION ALL SELECT s.id, a.id, 2 FROM s JOIN a ON s.l_partkey = a.l_partkey WHERE s.id <> a.id)
     SELECT seed_id, related_id, min(priority) AS priority, CASE min(priority) WHEN 1 THEN 'shared_subject' ELSE 'shared_form' END AS strength FROM r GROUP BY 1, 2""")
 def related_claims_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines related to those of some orders: by order first, then by part."""
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
-    return graph.related(rows, [("shared_subject", F.col("l_orderkey"), 1), ("shared_form", F.col("l_partkey"), 2)], "id", rows.where("l_orderkey <= 100"))
+    """Lines related to every line whose identifier is divisible by 20: by order first, then by part."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("id"))
+    return graph.related(rows, [("shared_subject", F.col("l_orderkey"), 1), ("shared_form", F.col("l_partkey"), 2)], "id", rows.where("id % 20 = 0"))
 
 
 @query("""WITH c AS (SELECT p_partkey, string_split(p_name, ' ') AS f FROM part) SELECT p_partkey AS claim_id, unnest(range(0, len(f))) AS ordinal, unnest(f) AS form, lower(unnest(f)) AS normalized FROM c""")
@@ -183,9 +183,9 @@ def unambiguous_lemmas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.unambiguous(rows, "key", "p_name")
 
 
-@query("""WITH p AS (SELECT DISTINCT c_custkey % 997 AS l, c_nationkey * 1000 + c_custkey % 61 AS r FROM customer WHERE c_acctbal < 0) SELECT l, r FROM (SELECT *, count(*) OVER (PARTITION BY l) AS a, count(*) OVER (PARTITION BY r) AS b FROM p) WHERE a = 1 AND b = 1""")
+@query("""WITH p AS (SELECT DISTINCT c_custkey % 997 AS l, c_nationkey * 10000 + c_custkey % 1999 AS r FROM customer) SELECT l, r FROM (SELECT *, count(*) OVER (PARTITION BY l) AS a, count(*) OVER (PARTITION BY r) AS b FROM p) WHERE a = 1 AND b = 1""")
 def mutually_unique_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "customer").where("c_acctbal < 0").select((F.col("c_custkey") % 997).alias("l"), (F.col("c_nationkey") * 1000 + F.col("c_custkey") % 61).alias("r"))
+    pairs = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 997).alias("l"), (F.col("c_nationkey") * 10000 + F.col("c_custkey") % 1999).alias("r"))
     return graph.mutually_unique(pairs, "l", "r")
 
 

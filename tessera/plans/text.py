@@ -201,7 +201,7 @@ def recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall_and_mrr(ranks)
 
 
-_WORDS = "ask AS (SELECT DISTINCT replace(strip_accents(lower(w)), 'ß', 'ss') AS word FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM benchmark) WHERE length(w) BETWEEN 5 AND 7)"
+_WORDS = "ask AS (SELECT DISTINCT replace(strip_accents(lower(w)), 'ß', 'ss') AS word FROM (SELECT unnest(regexp_extract_all(text, '\\p{L}+')) AS w FROM benchmark))"
 
 
 def _spelling(word: Column) -> Column:
@@ -219,13 +219,13 @@ def _benchmark_words(spark: SparkSession, sf_dir: str, which: str = "true") -> D
     ag AS (SELECT DISTINCT word, gram FROM (SELECT word, substr('^' || word || '$', unnest(range(1, length(word) + 1)), 3) AS gram FROM ask)),
     sizes AS (SELECT gram, count(*) AS postings FROM vg GROUP BY 1),
     rare AS (SELECT word, gram FROM (SELECT word, gram, row_number() OVER (PARTITION BY word ORDER BY postings, gram) AS k FROM ag JOIN sizes USING (gram)) WHERE k <= 5),
-    pool AS (SELECT DISTINCT word, normalized FROM rare JOIN vg USING (gram)),
+    pool AS (SELECT DISTINCT word, normalized FROM rare JOIN vg USING (gram) WHERE length(word) >= 5 UNION SELECT word, normalized FROM ask JOIN voc ON word[1] = normalized[1] AND abs(length(word) - length(normalized)) <= CASE WHEN length(word) < 6 THEN 1 ELSE 2 END WHERE length(word) < 5 OR (length(word) <= 6 AND length(normalized) < 5)),
     near AS (SELECT word, normalized, levenshtein(word, normalized) AS distance FROM pool)
     SELECT word, normalized, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, normalized) AS k FROM near WHERE distance <= CASE WHEN length(word) < 6 THEN 1 ELSE 2 END) WHERE k <= 80""")
 def levenshtein_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = lexical.token_table(table(spark, sf_dir, "documents")).select("normalized").distinct()
     vocabulary = vocabulary.select(_spelling(F.col("normalized")).alias("normalized")).distinct()
-    return similar.near_keys(vocabulary, _benchmark_words(spark, sf_dir, "length(w) between 5 and 7"))
+    return similar.near_keys(vocabulary, _benchmark_words(spark, sf_dir))
 
 
 @query()
@@ -235,16 +235,11 @@ def difflib_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.close_matches(vocabulary, _benchmark_words(spark, sf_dir))
 
 
-_HEADS = """t AS (SELECT DISTINCT text FROM (SELECT string_split(text, chr(10))[1] AS text FROM documents) WHERE length(text) BETWEEN 20 AND 400), s AS (SELECT md5(text) AS id, text, length(text) AS n FROM t),
-    g AS (SELECT DISTINCT id, n, substr(text, unnest(range(1, greatest(n - 4, 1) + 1)), 5) AS gram FROM s), c AS (SELECT id, count(*) AS size FROM g GROUP BY 1)"""
-
-
-@query(f"""WITH {_HEADS}, x AS (SELECT a.id AS a, b.id AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.id < b.id AND least(a.n, b.n) >= greatest(a.n, b.n) * 0.8 GROUP BY 1, 2)
-    SELECT a, b, shared, round(shared / (ca.size + cb.size - shared), 6) AS jaccard FROM x JOIN c ca ON ca.id = a JOIN c cb ON cb.id = b WHERE shared / (ca.size + cb.size - shared) >= 0.25""")
+@query()
 def shingle_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-identical first lines: five-character shingles, lengths within a fifth, Jaccard at least one quarter."""
-    heads = table(spark, sf_dir, "documents").select(F.substring_index("text", "\n", 1).alias("text")).where("length(text) between 20 and 400").distinct()
-    return similar.shingle_pairs(heads.select(F.md5("text").alias("id"), "text"), similarity=0.25).withColumn("shared", F.col("shared").cast("long"))
+    """Near-identical texts of at least 80 characters: shingles, lengths and then matching blocks, which SQL doesn't have."""
+    texts = table(spark, sf_dir, "documents").where("length(text) >= 80").select("text").distinct()
+    return similar.near_duplicate_texts(texts.select(F.md5("text").alias("id"), "text"))
 
 
 @query("SELECT doc_id, CAST(('0x' || substr(sha1(doc_id::VARCHAR), 33, 8))::BIGINT AS BIGINT) AS low, CASE WHEN b < 10 THEN 'dev' ELSE 'train' END AS split, b AS bucket FROM (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, [('0x' || c)::BIGINT FOR c IN string_split(sha1(doc_id::VARCHAR), '')]), lambda a, d: (a * 16 + d) % 100) AS b FROM documents)")

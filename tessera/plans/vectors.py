@@ -32,12 +32,12 @@ def dense_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_top_k(table(spark, sf_dir, "embeddings"), _query_vector(spark, sf_dir), 20, eligible).select("vec_id", "label", "score")
 
 
-@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id < 20), s AS (SELECT query_id, vec_id AS neighbour, round({_cosine('embedding', 'v')}, 6) AS score FROM embeddings, q WHERE vec_id <> query_id)
+@query(f"""WITH q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id AS neighbour, round({_cosine('embedding', 'v')}, 6) AS score FROM embeddings, q WHERE vec_id <> query_id)
     SELECT query_id, neighbour, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, neighbour) AS rank FROM s) WHERE rank <= 5""")
 def dense_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest five of twenty given query vectors among all vectors."""
+    """The nearest five of every twentieth vector among all vectors."""
     vectors = table(spark, sf_dir, "embeddings")
-    asked = vectors.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
     return retrieval.nearest_of_each(vectors, asked, 5).withColumn("rank", F.col("rank").cast("long"))
 
 

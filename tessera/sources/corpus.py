@@ -15,11 +15,14 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 
 from tessera.functions.text import fold_author, fold_search, text_key, tokens, work_id
 
+#: Kinds, qualities, required fields, and of claims predicates, assertion types and states.
 KINDS = ("text", "translation", "commentary", "apparatus", "reference")
 QUALITIES = ("source_text", "machine_corrected_ocr", "machine_ocr", "mixed_content", "needs_review")
 SEARCHABLE = QUALITIES[:2]
 REQUIRED = ("id", "source", "source_url", "raw_path", "raw_sha256", "text")
-PREDICATES = ("lemma", "morphology", "dialect_label", "sense_gloss", "equivalent_form", "passage_link", "translation", "editorial_state", "note", "identity", "context")
+PREDICATES = ("lemma", "morphology", "dialect_label", "sense_gloss", "equivalent_form", "variant_reading", "editorial_state", "grammar_rule", "author_alias", "literary_dialect", "parallel_proposal")
+ASSERTIONS = ("quoted_source", "extracted_annotation", "model_inference")
+STATES = ("source_claim", "machine_proposed", "needs_review")
 _TEXT = ("id", "source", "source_url", "raw_path", "raw_sha256", "author", "work", "edition", "citation", "language", "license", "kind", "quality", "text", "parent_id")
 RECORD = StructType(
     [StructField(n, StringType()) for n in _TEXT]
@@ -65,10 +68,18 @@ def gate(folder: str, manifest: dict) -> Gate:
 
 
 def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(file, line_no, value) of non-blank lines, split at \\n only, numbered from 1 within a file."""
+    """(file, line_no, value) of non-blank lines, split at \\n only, numbered from 1 within a file.
+
+    A file's splits are counted apart and numbered on from each other, so that no
+    task gathers a whole file.
+    """
     rows = spark.read.option("lineSep", "\n").text(list(paths)).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), F.regexp_replace("value", "^\\uFEFF|\\r$", "").alias("value"))
-    numbered = rows.withColumn("line_no", F.row_number().over(Window.partitionBy("file").orderBy("_block", "_at")))
-    return numbered.where(F.trim("value") != "").select("file", "line_no", "value")
+    splits = rows.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"))  # one row for each split
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    started = splits.select(F.col("file").alias("_file"), F.col("_block").alias("_start"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_at"))
+    numbered = rows.withColumn("_no", within).join(started, (F.col("file") == F.col("_file")) & (F.col("_block") == F.col("_start")))
+    return numbered.where(F.trim("value") != "").select("file", (F.col("_before") + F.col("_no")).cast("int").alias("line_no"), "value")
 
 
 def read_records(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -158,6 +169,8 @@ def broken_claims(claims: DataFrame) -> DataFrame:
     reasons = [
         (F.coalesce(F.col("id"), F.lit("")) == "", "no identifier"),
         (~F.coalesce(F.col("predicate").isin(*PREDICATES), F.lit(False)), "unknown predicate"),
+        (~F.coalesce(F.col("assertion_type").isin(*ASSERTIONS), F.lit(False)), "unknown assertion type"),
+        (~F.coalesce(F.col("status").isin(*STATES), F.lit(False)), "unknown status"),
         (F.coalesce(F.size("evidence"), F.lit(0)) == 0, "no evidence"),
         (F.exists("evidence", lambda e: ~F.coalesce(e["raw_sha256"].rlike("^[0-9a-f]{64}$"), F.lit(False)) | (F.coalesce(e["quote"], F.lit("")) == "")), "evidence without hash or quote"),
         (start.isNull() != end.isNull(), "one offset without the other"),

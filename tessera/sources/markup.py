@@ -131,7 +131,8 @@ def year_interval(time: str, precision: int) -> tuple[int, int]:
     if width == 1:
         return year, year
     if width == 10:
-        low = abs(year) // 10 * 10
-        return (low, low + 9) if year >= 0 else (-(low + 9), -low)
+        if year >= 0:
+            return year // 10 * 10, year // 10 * 10 + 9
+        # before our era decades count back from the year -1, as centuries do
     rank = -(-abs(year) // width)
     return ((rank - 1) * width + 1, rank * width) if year >= 0 else (-rank * width, -((rank - 1) * width + 1))
