@@ -1,7 +1,10 @@
 """Text quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
 Every whole text becomes counts of hashed byte trigrams, damped and weighted by
-rarity, and is projected to a few latent dimensions.  The projection and the
+rarity, beside a few shares that tell its shape (repeated words, capitals,
+symbols, digits, length), and is projected to a few latent dimensions.  Without
+the shares a text that says one thing over and over looks like any other: of 990
+held-out labelled documents 35 are misjudged then, in place of 3 (README).  The projection and the
 labelled vectors come from a bounded sample of labelled rows (``max_labelled``),
 so both can be broadcast whatever the size of the corpus.  Each document is
 compared with every labelled vector by exact cosine, in blocks, and its nearest
@@ -23,19 +26,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
-from tessera.llm.tokens import chunks, mix, raw
+from tessera.llm.tokens import chunks, mix, words_of
 
-FEATURES = 2048
+FEATURES, SHAPES = 2048, 6
+#: Length of the shape shares against the trigrams' unit length.
+SHAPE_WEIGHT = 2.0
+_UPPER, _DIGIT, _SYMBOL = np.zeros(256), np.zeros(256), np.zeros(256)
+_UPPER[65:91] = _DIGIT[48:58] = 1
+_SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
 #: Steps of 1 in which weights, projection and vectors are counted.
 GRAIN = 1 << 12
 
 
 def text_features(texts: pa.Array, features: int = FEATURES) -> np.ndarray:
-    """Damped counts (texts x features) of hashed byte trigrams within each text; shorter texts have none."""
-    data, offsets = raw(texts)
+    """Damped counts (texts x features) of hashed byte trigrams within each text, then SHAPES shares of each; texts of under three bytes have none of either."""
+    words = words_of(texts)
+    data, offsets = words.data, words.offsets
     n = len(offsets) - 1
     if len(data) < 3:
-        return np.zeros((n, features), np.float32)
+        return np.zeros((n, features + SHAPES), np.float32)
     table = (mix(np.arange(1 << 16, dtype=np.uint64) + np.uint64(7)) % np.uint64(features)).astype(np.uint32)
     wide = data.astype(np.uint32)
     codes = table[(wide[:-2] << 8) | wide[1:-1]] + wide[2:] * np.uint32(269)
@@ -43,7 +52,19 @@ def text_features(texts: pa.Array, features: int = FEATURES) -> np.ndarray:
     owner = np.repeat(np.arange(n), np.diff(offsets))
     within = owner[:-2] == owner[2:]
     flat = owner[:-2] * features + codes
-    return np.log1p(np.bincount(flat[within], minlength=n * features).reshape(n, features)).astype(np.float32)
+    counts = np.bincount(flat[within], minlength=n * features).reshape(n, features)
+
+    size = np.maximum(np.diff(offsets), 1)
+    amount = np.diff(words.bounds)
+    of = np.repeat(np.arange(n), amount)
+    follows, again = np.zeros(len(of), bool), np.zeros(len(of), bool)
+    follows[1:] = (words.hashes[1:] == words.hashes[:-1]) & (of[1:] == of[:-1])
+    order = np.lexsort((words.hashes, of))
+    again[1:] = (words.hashes[order][1:] == words.hashes[order][:-1]) & (of[order][1:] == of[order][:-1])
+    share = lambda mask, whose, base: np.bincount(whose, weights=mask, minlength=n) / np.maximum(base, 1)
+    shapes = [share(follows, of, amount), share(again, of[order], amount), *[share(kind[data], owner, size) for kind in (_UPPER, _SYMBOL, _DIGIT)], np.minimum(np.log1p(size) / 20, 1) * 0.3]
+    told = (np.diff(offsets) >= 3)[:, None]
+    return np.concatenate([np.log1p(counts), np.stack(shapes, axis=1) * told], axis=1).astype(np.float32)
 
 
 def _grains(x: np.ndarray) -> np.ndarray:
@@ -53,7 +74,8 @@ def _grains(x: np.ndarray) -> np.ndarray:
 
 
 def weighted(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    return _grains(counts.astype(np.float64) * idf)
+    shapes = np.rint(counts[:, -SHAPES:].astype(np.float64) * (SHAPE_WEIGHT * GRAIN))
+    return np.concatenate([_grains(counts[:, :-SHAPES].astype(np.float64) * idf), shapes], axis=1)
 
 
 def latent(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -62,7 +84,7 @@ def latent(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 64) -> dict[str, np.ndarray]:
     """Rarity weights, projection and labelled vectors."""
-    idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1
+    idf = np.log((1 + len(counts)) / (1 + (counts[:, :-SHAPES] > 0).sum(axis=0))) + 1
     x = weighted(counts, idf)
     values, vectors = np.linalg.eigh(x.T @ x) if len(x) else (np.zeros(1), np.zeros((counts.shape[1], 1)))
     projection = np.ascontiguousarray(np.rint(vectors[:, ::-1][:, :dimensions] * GRAIN))
@@ -114,7 +136,7 @@ def labelled_model(docs: DataFrame, labels: DataFrame, learn: Column, max_labell
     # rows that repeat an identifier give one row, whatever their number: that of the smallest features
     found = texts.select("text", F.col("_labelled").cast("string"), "_quality").mapInArrow(features, "id string, x binary, y double")
     rows = found.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").collect()  # at most max_labelled
-    counts = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), FEATURES)
+    counts = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), FEATURES + SHAPES)
     return fit(counts, np.array([r["y"] for r in rows]), dimensions)
 
 
