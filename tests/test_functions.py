@@ -35,10 +35,9 @@ def test_divided_words(text, joined):
 
 def test_tags_and_references():
     assert q.describe_tag("v3sria---") == "verb · third person · singular · perfect · indicative · active"
-    with pytest.raises(ValueError):
-        q.describe_tag("v3szia---")
-    with pytest.raises(ValueError):
-        q.describe_tag("v3s")
+    assert q.describe_tag("n-s---fl-") == "noun · singular · feminine · locative"
+    assert q.describe_tag("t-spppmn-") == "participle · singular · present · passive · masculine · nominative"
+    assert [q.describe_tag(x) for x in ("v3szia---", "v3s", None, "---------")] == [None] * 4
     assert q.parse_reference("Someone fr. 31a LP") == {"author": "Someone", "number": 31, "letter": "a", "scheme": "LP"}
     assert q.parse_reference("no number here") is None
     assert q.vowel_alternatives("λεγω") == ["λεγω", "ληγω", "λεγο"]
@@ -64,3 +63,16 @@ def test_cosine_and_trigrams(spark):
     ).first()
     assert round(row.c, 6) == 0.707107 and row.g == ["^ab", "abc", "bc$"] and row.s == ["ab", "bc", "ca"]
     assert row.w == ["l'eau", "d’or", "x", "a"]
+
+
+def test_scripts():
+    assert q.from_beta("qeo/s7ei)mi") == "θεοσ ειμι" and q.from_beta("a.b") == "α β"
+    assert q.from_roman("theos") == "θεοσ" and q.from_roman("psychē vita") == "ψυχη βιτα" and q.from_roman("a-b") == "α β"
+
+
+@pytest.mark.parametrize(
+    ("text", "masked"),
+    [("a [b] c", "  ###  "), ("a b] c", "####  "), ("one\ntwo] x", "    ####  "), ("a [b\nc", "  ## "[:4] + "  "), ("⸢a⸣ ‹b", "### ##"), ("(a) b", "     ")],
+)
+def test_brackets(text, masked):
+    assert "".join("#" if m else " " for m in q.editorial_mask(text)) == masked

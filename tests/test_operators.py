@@ -118,3 +118,24 @@ def test_snapshot_operators(spark):
     assert audit.upsert(before, after.where("k = 2"), "k").where("k = 2").first()["y"] == 5
     assert audit.table_fingerprint(before).first() == audit.table_fingerprint(before.repartition(3)).first()
     assert rows(graph.conflicts(before, "x", "k")) == []
+
+
+def test_nearest_of_each_in_blocks(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    v = [(i, [float(x) for x in rng.normal(size=6).round(2)]) for i in range(90)] + [(90, v0 := [1.0] + [0.0] * 5), (91, v0), (92, v0)]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    asked = df.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    found = {(r["query_id"], r["rank"]): r["neighbour"] for r in retrieval.nearest_of_each(df, asked, 4, block=16).collect()}
+    for q, x in v[::10]:
+        scores = sorted((-round(float(np.dot(x, y) / (np.linalg.norm(x) * np.linalg.norm(y))), 6), i) for i, y in v if i != q)
+        assert [found[(q, k + 1)] for k in range(4)] == [i for _, i in scores[:4]]
+
+
+def test_near_duplicate_texts(spark):
+    base = [f"word{i}" for i in range(100)]
+    changed = [w if i % 10 else "x" for i, w in enumerate(base)]
+    texts = {"a": " ".join(base), "b": " ".join(changed), "c": " ".join(base[::-1]), "d": "x " * 500, "e": "x " * 501}
+    found = similar.near_duplicate_texts(spark.createDataFrame(list(texts.items()), "id string, text string")).collect()
+    assert {(r["a"], r["b"]): r["ratio"] for r in found}[("a", "b")] == 0.9 and not any("c" in (r["a"], r["b"]) for r in found)

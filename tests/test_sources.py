@@ -51,10 +51,10 @@ def test_counts_and_hashes_gate(spark, tmp_path):
 
 
 def test_claims(spark, tmp_path):
-    good = {"id": "c", "subject": {"type": "form", "passage_id": "p", "start": 0, "end": 3}, "predicate": "lemma", "object": "x", "evidence": [{"record_id": "r", "raw_sha256": "a" * 64, "quote": "q"}], "assertion_type": "a", "status": "source_claim"}
-    write(tmp_path, "c.jsonl", [good, good | {"id": "d", "predicate": "guess"}, good | {"id": "e", "evidence": []}, good | {"id": "f", "subject": {"passage_id": "p", "start": 4, "end": 3}}])
+    good = {"id": "c", "subject": {"type": "form", "passage_id": "p", "start": 0, "end": 3}, "predicate": "lemma", "object": "x", "evidence": [{"record_id": "r", "raw_sha256": "a" * 64, "quote": "q"}], "assertion_type": "quoted_source", "status": "source_claim"}
+    write(tmp_path, "c.jsonl", [good, good | {"id": "d", "predicate": "guess"}, good | {"id": "e", "evidence": []}, good | {"id": "f", "subject": {"passage_id": "p", "start": 4, "end": 3}}, good | {"id": "g", "status": "sure"}, good | {"id": "h", "assertion_type": "guess"}, good | {"id": "i", "predicate": "parallel_proposal"}])
     claims = corpus.read_claims(spark, [str(tmp_path / "c.jsonl")])
-    assert {tuple(r) for r in corpus.broken_claims(claims).collect()} == {("d", "unknown predicate"), ("e", "no evidence"), ("f", "offsets out of order")}
+    assert {tuple(r) for r in corpus.broken_claims(claims).collect()} == {("d", "unknown predicate"), ("e", "no evidence"), ("f", "offsets out of order"), ("g", "unknown status"), ("h", "unknown assertion type")}
 
 
 def test_visible_text(spark):
@@ -81,4 +81,5 @@ def test_years():
     assert markup.year_interval("-0612-00-00T00:00:00Z", 9) == (-612, -612)
     assert markup.year_interval("-0600-00-00T00:00:00Z", 7) == (-600, -501)
     assert markup.year_interval("+0150-00-00T00:00:00Z", 7) == (101, 200)
+    assert markup.year_interval("-0625-00-00T00:00:00Z", 8) == (-630, -621)
     assert markup.year_interval("+1985-00-00T00:00:00Z", 8) == (1980, 1989)
