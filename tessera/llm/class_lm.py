@@ -2,16 +2,24 @@
 
 log P(text) = sum over its tokens of log P(class | class before) + log P(word | class).
 
-Word counts cover all training texts.  Words are told apart by 64-bit hashes and
-dealt to groups by hash; a group counts its words and hands back, for each
-document, the sum of log10(count + 1) over its words - what both the unigram
-base and P(word | class) need - so no vocabulary is ever broadcast.
-
-Classes are found on atoms: the ``frequent`` most frequent words each are one,
-and all other words fall into ``rare`` atoms by their ending, so every word, seen
-or not, has an atom.  The exchange algorithm moves atoms between classes while
-that raises the likelihood of the training bigrams, which are counted over all
-training texts.  Only tables of atoms and classes (a fixed size) reach the driver.
+Texts are read once.  Each chunk of them becomes a row: its distinct words, known
+by 64-bit hashes, and its line, which says for each token which of them it is.
+Only distinct words leave a chunk, with sums over its tokens, so that the most
+frequent word is sent once for each chunk, not once for each occurrence.
+
+1. Words are dealt to parts by hash, which sum their counts over all training texts.
+2. The ``frequent`` most frequent words are atoms, and the others fall into ``rare``
+   atoms by their ending.  The exchange algorithm moves atoms between classes while
+   that raises the likelihood of the training bigrams.  Only tables of atoms and
+   classes (a fixed size) reach the driver.
+3. Every other word that training texts hold at least ``least`` times is then moved
+   by itself: the parts know how often it stands before and behind each class, and
+   put it into the class where the likelihood gains most, all other words staying
+   where they are.  Rarer words stay in the class of their ending, unseen ones too:
+   a single context says little about a word (figures in the README).
+4. Chunks ask the parts for the counts and classes of their words - the vocabulary is
+   never broadcast - and keep the class of each token.  Class bigrams are counted over
+   these for all training texts, and documents are scored from them.
 
 P(word | class) = (c(word) + 1) / (N_class + V_class + 1): one count of the class
 is left for words that were never seen.  P(class | before) = (n + d) / (n_before
@@ -34,8 +42,15 @@ from tessera.llm.tokens import chunks, suffix_buckets, words_of
 
 RARE = 255
 SMOOTH = 0.1
-POSTINGS = "chunk long, part int, kind string, hashes binary, counts binary, docs binary, buckets binary, train binary, ids binary, flags binary, keys binary, totals binary"
-SUMS = "chunk long, kind string, hash long, count long, bucket int, totals binary, known binary, ids binary, flags binary, keys binary, sizes binary"
+#: Contexts of words that are weighed against all classes at once.
+SLICE = 1 << 14
+CHUNKS = "chunk long, words binary, endings binary, line binary, sizes binary, ids binary, flags binary, keys binary"
+COUNTED = "kind string, hash long, count long, bucket int, n long"
+COUNTS = "part int, words binary, counts binary, endings binary"
+CONTEXTS = "part int, words binary, entries binary, cells binary, amounts binary"
+VOCABULARY = "part int, words binary, counts binary, classes binary, n_class binary, v_class binary"
+REQUESTS = "part int, chunk long, words binary, counts binary, classes binary"
+CLASSED = "classes binary, sizes binary, ids binary, flags binary, keys binary, known binary, sums binary"
 
 
 def _record(schema: str, rows: list[dict]) -> pa.RecordBatch:
@@ -44,131 +59,127 @@ def _record(schema: str, rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], kinds[k]) for n, k in names], [n for n, _ in names])
 
 
-def _postings(batches: Iterator[pa.RecordBatch], parts: int, rare: int) -> Iterator[pa.RecordBatch]:
-    """(key, text, train, doc_id) to one row for each chunk and group of words: each word's documents in the chunk."""
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for b in batches:
+        for k in range(b.num_rows):
+            yield {name: column[k].as_py() for name, column in zip(b.schema.names, b.columns, strict=True)}
+
+
+def _chunked(batches: Iterator[pa.RecordBatch], rare: int) -> Iterator[pa.RecordBatch]:
+    """(key, text, train, doc_id) to one row for each chunk: its distinct words, their endings, and the texts as places of these."""
     number = TaskContext.get().partitionId() << 32
     for batch in batches:
         for part in chunks(batch):
             number += 1
             words = words_of(part.column(1))
-            sizes = np.diff(words.bounds)
-            docs = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
-            order = np.argsort(words.hashes, kind="stable")
-            hashes, docs, buckets = words.hashes[order], docs[order], suffix_buckets(words, rare)[order]
-            first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
-            group = ((hashes[first] >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-            train = part.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
-            ends = np.r_[first[1:], len(hashes)]
-            rows = []
-            for g in np.unique(group).tolist():
-                lo, hi = np.searchsorted(group, [g, g + 1])
-                inside = slice(first[lo], ends[hi - 1])
-                rows.append({
-                    "chunk": number, "part": g, "kind": "words", "hashes": hashes[first[lo:hi]].tobytes(), "counts": (ends[lo:hi] - first[lo:hi]).astype(np.uint32).tobytes(),
-                    "docs": docs[inside].tobytes(), "buckets": buckets[first[lo:hi]].astype(np.uint8).tobytes(), "train": train.tobytes(),
-                })
-            ids = part.column(3)
-            rows.append({
-                "chunk": number, "part": number % parts, "kind": "docs", "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(), "flags": (np.asarray(ids.is_null()) * 2 + train).astype(np.uint8).tobytes(),
-                "keys": part.column(0).to_numpy().astype(np.int64).tobytes(), "totals": (sizes + 1).astype(np.int64).tobytes(),
-            })
-            yield _record(POSTINGS, rows)
+            known, first, line = np.unique(words.hashes, return_index=True, return_inverse=True)
+            ids, train = part.column(3), part.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(np.uint8)
+            yield _record(CHUNKS, [{
+                "chunk": number, "words": known.tobytes(), "endings": suffix_buckets(words, rare)[first].astype(np.int32).tobytes(), "line": line.astype(np.uint32).tobytes(),
+                "sizes": np.diff(words.bounds).astype(np.int64).tobytes(), "ids": ids.fill_null(0).to_numpy().astype(np.int64).tobytes(),
+                "flags": (np.asarray(ids.is_null()) * 2 + train).astype(np.uint8).tobytes(), "keys": part.column(0).to_numpy().astype(np.int64).tobytes(),
+            }])
+
+
+def _tokens(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a chunk: words, the line, and for each of its tokens whether its text is one to learn from."""
+    sizes = np.frombuffer(row["sizes"], np.int64)
+    train = np.frombuffer(row["flags"], np.uint8) % 2 == 1
+    return np.frombuffer(row["words"], np.uint64), np.frombuffer(row["line"], np.uint32).astype(np.int64), np.repeat(train, sizes)
+
+
+def _ended(values: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all tokens of a chunk in one line, an end before the first and behind each text; places of the first tokens."""
+    line = np.full(1 + len(values) + len(sizes), end, np.int64)
+    line[1 + np.arange(len(values)) + np.repeat(np.arange(len(sizes)), sizes)] = values
+    return line, np.r_[0, np.cumsum(sizes[:-1] + 1)].astype(np.int64)[: len(sizes)] + 1
+
+
+def _parts(words: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of ascending hashes."""
+    group = ((words >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    return [(g, *np.searchsorted(group, [g, g + 1]).tolist()) for g in np.unique(group).tolist()]
+
+
+def _occurrences(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    """Chunks to the training counts of their words, by part."""
+    for row in _rows(batches):
+        words, line, train = _tokens(row)
+        count, endings = np.bincount(line[train], minlength=len(words)), np.frombuffer(row["endings"], np.int32)
+        seen = count > 0
+        words, count, endings = words[seen], count[seen], endings[seen]
+        found = [{"part": g, "words": words[lo:hi].tobytes(), "counts": count[lo:hi].tobytes(), "endings": endings[lo:hi].tobytes()} for g, lo, hi in _parts(words, parts)]
+        if found:
+            yield _record(COUNTS, found)
+
+
+def _summed(pieces: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 22) -> tuple[np.ndarray, ...]:
+    """(keys, ..., amounts) pieces to distinct keys with sums; no more than the distinct ones and a few pieces are held."""
+    held, size = [], 0
+
+    def fold() -> list[tuple[np.ndarray, ...]]:
+        columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        order = np.lexsort(columns[-2::-1])
+        columns = [c[order] for c in columns]
+        fresh = np.zeros(len(order), bool)
+        fresh[:1] = True
+        for c in columns[:-1]:
+            fresh[1:] |= c[1:] != c[:-1]
+        first = np.flatnonzero(fresh)
+        return [(*[c[first] for c in columns[:-1]], np.add.reduceat(columns[-1], first) if len(first) else columns[-1])]
+
+    for piece in pieces:
+        held.append(piece)
+        size += len(piece[0])
+        if size > most:
+            held = fold()
+            size = len(held[0][0])
+            most = max(most, 2 * size)
+    return fold()[0] if held else ()
 
 
 def _count(batches: Iterator[pa.RecordBatch], frequent: int, rare: int) -> Iterator[pa.RecordBatch]:
-    """Groups of words, whole: sums for each chunk's documents, the group's most frequent words, totals of each ending."""
-    rows = [r for b in batches for r in b.to_pylist()]
-    for r in rows:
-        if r["kind"] == "docs":
-            yield _record(SUMS, [{"chunk": r["chunk"], "kind": "docs", "ids": r["ids"], "flags": r["flags"], "keys": r["keys"], "sizes": r["totals"]}])
-    rows = [r for r in rows if r["kind"] == "words"]
-    if not rows:
+    """A part, whole: its most frequent words, and the number and the counts of words of each ending."""
+    summed = _summed((np.frombuffer(r["words"], np.uint64), np.frombuffer(r["endings"], np.int32), np.frombuffer(r["counts"], np.int64)) for r in _rows(batches))
+    if not summed:
         return
-    hashes = np.concatenate([np.frombuffer(r["hashes"], np.uint64) for r in rows])
-    buckets = np.concatenate([np.frombuffer(r["buckets"], np.uint8) for r in rows])
-    seen = []
-    for r in rows:
-        n, docs, train = np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["docs"], np.uint16), np.frombuffer(r["train"], np.uint8)
-        seen.append(np.add.reduceat(train[docs].astype(np.int64), np.r_[0, np.cumsum(n[:-1], dtype=np.int64)]))
-    vocabulary, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-    count = np.bincount(back, weights=np.concatenate(seen)).astype(np.int64)
-    value = np.log10(count + 1.0)
-    at = 0
-    for r in rows:
-        n, docs = np.frombuffer(r["counts"], np.uint32), np.frombuffer(r["docs"], np.uint16)
-        own = back[at : at + len(n)]
-        at += len(n)
-        size = len(r["train"])
-        sums = np.bincount(docs, weights=np.repeat(value[own], n), minlength=size)
-        known = np.bincount(docs, weights=np.repeat(count[own] > 0, n), minlength=size).astype(np.int32)
-        yield _record(SUMS, [{"chunk": r["chunk"], "kind": "sums", "totals": sums.tobytes(), "known": known.tobytes()}])
-    bucket = buckets[first].astype(np.int64)
-    trained = count > 0
-    v, n = np.bincount(bucket[trained], minlength=rare), np.bincount(bucket[trained], weights=count[trained], minlength=rare).astype(np.int64)
-    yield _record(SUMS, [{"kind": "ending", "bucket": b, "hash": int(v[b]), "count": int(n[b])} for b in range(rare)])
-    top = np.lexsort((vocabulary, -count))[:frequent]
-    top = top[count[top] > 0]
-    yield _record(SUMS, [{"kind": "top", "hash": int(h), "count": int(c), "bucket": int(b)} for h, c, b in zip(vocabulary[top].view(np.int64), count[top], bucket[top], strict=True)])
-
-
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole chunks: the sums of all groups for each document."""
-    sums: dict[int, list[np.ndarray]] = {}
-    docs: dict[int, dict] = {}
-    for b in batches:
-        for r in b.to_pylist():
-            if r["kind"] == "docs":
-                docs[r["chunk"]] = r
-            else:
-                s, k = np.frombuffer(r["totals"]), np.frombuffer(r["known"], np.int32)
-                if r["chunk"] in sums:
-                    sums[r["chunk"]][0] += s
-                    sums[r["chunk"]][1] += k
-                else:
-                    sums[r["chunk"]] = [s.copy(), k.astype(np.int64)]
-    for chunk, r in docs.items():
-        ids, flags = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["flags"], np.uint8)
-        s, k = sums.get(chunk, [np.zeros(len(ids)), np.zeros(len(ids), np.int64)])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=flags >= 2), pa.array(np.frombuffer(r["keys"], np.int64)), pa.array(flags % 2 == 0), pa.array(np.frombuffer(r["sizes"], np.int64)), pa.array(k), pa.array(s)],
-            ["doc_id", "_key", "held_out", "n_tokens", "_known", "_sum"],
-        )
+    words, ending, count = summed
+    v, n = np.bincount(ending, minlength=rare), np.bincount(ending, weights=count, minlength=rare).astype(np.int64)
+    yield _record(COUNTED, [{"kind": "ending", "bucket": b, "n": int(v[b]), "count": int(n[b])} for b in range(rare)])
+    top = np.lexsort((words, -count))[:frequent]
+    yield _record(COUNTED, [{"kind": "top", "hash": int(h), "count": int(c), "bucket": int(b)} for h, c, b in zip(words[top].view(np.int64), count[top], ending[top], strict=True)])
+
+
+def atoms_of(words: np.ndarray, endings: np.ndarray, top: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """The atom of each word: its own for the frequent ones (``top``, ascending), else that of its ending."""
+    atom = endings.astype(np.int64) + len(top)
+    if len(top) and len(words):
+        near = np.minimum(np.searchsorted(top, words), len(top) - 1)
+        known = top[near] == words
+        atom[known] = ranks[near[known]]
+    return atom
 
 
-def atoms_of(texts: pa.Array, top: np.ndarray, ranks: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
-    """Atoms of all texts in one line, an end (the last atom) before the first and after each text; first places of the texts."""
-    words = words_of(texts)
-    atom = suffix_buckets(words, rare) + len(top)
-    if len(top) and len(words.hashes):
-        near = np.minimum(np.searchsorted(top, words.hashes), len(top) - 1)
-        known = top[near] == words.hashes
-        atom[known] = ranks[near[known]]
-    end = len(top) + rare
-    n = np.diff(words.bounds)
-    line = np.full(1 + len(atom) + len(n), end, np.int64)
-    line[1 + np.arange(len(atom)) + np.repeat(np.arange(len(n)), n)] = atom
-    return line, words.bounds[:-1] + np.arange(len(n)) + 1
+def _training_pairs(line: np.ndarray, sizes: np.ndarray, flags: np.ndarray) -> np.ndarray:
+    """Which neighbours in a line with ends stand in a text to learn from; the end before a text belongs to it."""
+    return np.repeat(flags % 2 == 1, sizes + 1)
 
 
-def _bigrams(batches: Iterator[pa.RecordBatch], top, atoms: int, rare: int, segments: int) -> Iterator[pa.RecordBatch]:
+def _bigrams(batches: Iterator[pa.RecordBatch], top, atoms: int, rare: int) -> Iterator[pa.RecordBatch]:
+    """Atom bigrams of a task's training texts: those that occur."""
     total = np.zeros(atoms * atoms, np.int64)
-    for batch in batches:
-        for part in chunks(batch):
-            line, _ = atoms_of(part.column(1), *top.value, rare)
-            total += np.bincount(line[:-1] * atoms + line[1:], minlength=atoms * atoms)
-    for s, x in enumerate(np.array_split(total, segments)):
-        if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "counts"])
+    for row in _rows(batches):
+        words, line, _ = _tokens(row)
+        sizes, flags = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["flags"], np.uint8)
+        whole, _ = _ended(atoms_of(words, np.frombuffer(row["endings"], np.int32), *top.value)[line], sizes, atoms - 1)
+        total += np.bincount((whole[:-1] * atoms + whole[1:])[_training_pairs(whole, sizes, flags)], minlength=atoms * atoms)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for s, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            x = np.frombuffer(x.as_buffer(), np.int64)
-            sums[s] = sums[s] + x if s in sums else x.copy()
-    for s, x in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([x.tobytes()], pa.binary())], ["segment", "counts"])
+def _gain(x: np.ndarray, more: np.ndarray) -> np.ndarray:
+    f = lambda y: np.where(y > 0, y * np.log(np.maximum(y, 1)), 0.0)
+    return f(x + more) - f(x)
 
 
 def exchange(counts: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
@@ -216,75 +227,221 @@ def exchange(counts: np.ndarray, classes: int, rounds: int = 6) -> np.ndarray:
     return own
 
 
-def _score(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
-    m = model.value
-    for batch in batches:
-        for part in chunks(batch):
-            line, first = atoms_of(part.column(1), m["top"], m["ranks"], m["rare"])
-            c = m["classes"][line]
-            step = m["transition"][c[:-1], c[1:]] - m["emission"][c[1:]]
-            total = np.add.reduceat(step, first - 1) if len(first) else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([part.column(3), part.column(0), pa.array(total)], ["_id", "_own", "_steps"])
+def best_classes(here: np.ndarray, owner: np.ndarray, cell: np.ndarray, amount: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """The class of each word where the likelihood gains most, all others staying where they are.
+
+    ``here``: classes now; ``owner``, ``cell``, ``amount``: how often word ``owner`` stands
+    before class ``cell``, or behind class ``cell`` - len(table); ``table``: class bigrams, the
+    end's class last.  Each word's own counts are taken out of the table first.
+    """
+    width, classes, words = len(table), len(table) - 1, len(here)
+    before = cell < width
+    side = np.where(before, cell, cell - width)
+    # the table as the word sees it, in the cells of its neighbours: (entries, classes)
+    cells = np.where(before[:, None], table[:classes, side].T, table[side, :classes])
+    mine = here[owner]
+    at = np.arange(len(owner))
+    cells[at, mine] = np.maximum(cells[at, mine] - amount, 0)
+    gain = np.zeros((words, classes))
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]]) if len(owner) else np.zeros(0, np.int64)
+    if len(first):
+        gain[owner[first]] = np.add.reduceat(_gain(cells, amount[:, None]), first, axis=0)
+    to, fro = np.bincount(owner, weights=amount * before, minlength=words), np.bincount(owner, weights=amount * ~before, minlength=words)
+    out, into = np.tile(table.sum(axis=1)[:classes], (words, 1)), np.tile(table.sum(axis=0)[:classes], (words, 1))
+    rows = np.arange(words)
+    out[rows, here], into[rows, here] = np.maximum(out[rows, here] - to, 0), np.maximum(into[rows, here] - fro, 0)
+    gain -= _gain(out, to[:, None]) + _gain(into, fro[:, None])
+    best = gain.argmax(axis=1)
+    return np.where(gain[rows, best] > gain[rows, here] + 1e-9, best, here)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], top, own: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Chunks to how often each word stands before and behind each class in training texts, by part, with its class now."""
+    width = int(own[-1]) + 1
+    for row in _rows(batches):
+        words, line, _ = _tokens(row)
+        sizes, flags = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["flags"], np.uint8)
+        now = own[atoms_of(words, np.frombuffer(row["endings"], np.int32), *top.value)]
+        classes, _ = _ended(now[line], sizes, width - 1)
+        tokens, _ = _ended(line, sizes, len(words))
+        use = _training_pairs(classes, sizes, flags)
+        keys = np.concatenate([(tokens[:-1] * (2 * width) + classes[1:])[use], (tokens[1:] * (2 * width) + width + classes[:-1])[use]])
+        keys, amounts = np.unique(keys[keys < len(words) * 2 * width], return_counts=True)
+        owner, cell = keys // (2 * width), keys % (2 * width)
+        held, entries = np.unique(owner, return_counts=True)
+        bounds = np.r_[0, np.cumsum(entries)]
+        found = []
+        for g, lo, hi in _parts(words[held], parts):
+            inside = slice(bounds[lo], bounds[hi])
+            # the class now goes with the word, above the number of its entries
+            some = (now[held[lo:hi]] << 16 | entries[lo:hi]).astype(np.uint32)
+            found.append({"part": g, "words": words[held[lo:hi]].tobytes(), "entries": some.tobytes(), "cells": cell[inside].astype(np.uint16).tobytes(), "amounts": amounts[inside].astype(np.uint32).tobytes()})
+        if found:
+            yield _record(CONTEXTS, found)
+
+
+def _context_pieces(rows: Iterator[dict]) -> Iterator[tuple[np.ndarray, ...]]:
+    for r in rows:
+        entries = np.frombuffer(r["entries"], np.uint32)
+        times = (entries & 0xFFFF).astype(np.int64)
+        now = np.repeat(entries & np.uint32(0xFFFF0000), times)
+        yield np.repeat(np.frombuffer(r["words"], np.uint64), times), now | np.frombuffer(r["cells"], np.uint16), np.frombuffer(r["amounts"], np.uint32).astype(np.int64)
 
 
-def class_lm_scores(docs: DataFrame, train: Column, frequent: int = 768, rare: int = RARE, classes: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _place_words(batches: Iterator[pa.RecordBatch], top, table: np.ndarray, least: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """A part, whole: its words with counts and classes.  Frequent words are where the exchange of atoms put them."""
+    summed = _summed(_context_pieces(_rows(batches)))
+    if not summed:
+        return
+    word, code, amount = summed
+    words, first, owner = np.unique(word, return_index=True, return_inverse=True)
+    classes, cell = (code[first] >> 16).astype(np.int64), (code & 0xFFFF).astype(np.int64)
+    count = np.bincount(owner, weights=amount * (cell < len(table))).astype(np.int64)
+    fixed = np.isin(words, top.value[0]) | (count < least)
+    free, inside = np.flatnonzero(~fixed), ~fixed[owner]
+    owner, cell, amount = np.searchsorted(free, owner[inside]), cell[inside], amount[inside].astype(np.float64)
+    bounds, lo = np.searchsorted(owner, np.arange(len(free) + 1)), 0
+    while lo < len(free):
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, side="right")) - 1)
+        at = slice(bounds[lo], bounds[hi])
+        classes[free[lo:hi]] = best_classes(classes[free[lo:hi]], owner[at] - lo, cell[at], amount[at], table)
+        lo = hi
+    v, n = np.bincount(classes, minlength=len(table)), np.bincount(classes, weights=count, minlength=len(table)).astype(np.int64)
+    for k, (g, lo, hi) in enumerate(_parts(words, parts)):
+        totals = {"n_class": n.tobytes(), "v_class": v.tobytes()} if k == 0 else {}
+        yield _record(VOCABULARY, [{"part": g, "words": words[lo:hi].tobytes(), "counts": count[lo:hi].tobytes(), "classes": classes[lo:hi].astype(np.int16).tobytes(), **totals}])
+
+
+def _requests(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.RecordBatch]:
+    for row in _rows(batches):
+        words = np.frombuffer(row["words"], np.uint64)
+        found = [{"part": g, "chunk": row["chunk"], "words": words[lo:hi].tobytes()} for g, lo, hi in _parts(words, parts)]
+        if found:
+            yield _record(REQUESTS, found)
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of parts, the vocabulary (without a chunk) before the requests: counts and classes (-1: never seen) of the words asked for."""
+    part, words = None, np.zeros(0, np.uint64)
+    for r in _rows(batches):
+        asked = np.frombuffer(r["words"], np.uint64)
+        if r["chunk"] is None:
+            part, words = r["part"], asked
+            counts, classes = np.frombuffer(r["counts"], np.int64), np.frombuffer(r["classes"], np.int16)
+            continue
+        count, label = np.zeros(len(asked), np.int64), np.full(len(asked), -1, np.int16)
+        if r["part"] == part and len(words):
+            near = np.minimum(np.searchsorted(words, asked), len(words) - 1)
+            known = words[near] == asked
+            count[known], label[known] = counts[near[known]], classes[near[known]]
+        yield _record(REQUESTS, [{"part": r["part"], "chunk": r["chunk"], "counts": count.tobytes(), "classes": label.tobytes()}])
+
+
+def _classed(batches: Iterator[pa.RecordBatch], endings: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Chunks, each behind its answers in the order of their parts: the class of every token and the sums for every document."""
+    counts, labels = [], []
+    for r in _rows(batches):
+        if r["part"] is not None:
+            counts.append(np.frombuffer(r["counts"], np.int64))
+            labels.append(np.frombuffer(r["classes"], np.int16))
+            continue
+        line = np.frombuffer(r["line"], np.uint32).astype(np.int64)
+        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
+        label = np.concatenate(labels).astype(np.int64) if labels else np.zeros(0, np.int64)
+        counts, labels = [], []
+        label = np.where(label < 0, endings[np.frombuffer(r["endings"], np.int32)], label)
+        sizes = np.frombuffer(r["sizes"], np.int64)
+        doc = np.repeat(np.arange(len(sizes)), sizes)
+        sums, known = np.bincount(doc, weights=np.log10(count + 1.0)[line], minlength=len(sizes)), np.bincount(doc, weights=(count > 0)[line], minlength=len(sizes)).astype(np.int64)
+        yield _record(CLASSED, [{"classes": label[line].astype(np.int16).tobytes(), "known": known.tobytes(), "sums": sums.tobytes(), **{k: r[k] for k in ("sizes", "ids", "flags", "keys")}}])
+
+
+def _class_bigrams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(width * width, np.int64)
+    for r in _rows(batches):
+        sizes, flags = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["flags"], np.uint8)
+        line, _ = _ended(np.frombuffer(r["classes"], np.int16), sizes, width - 1)
+        total += np.bincount((line[:-1] * width + line[1:])[_training_pairs(line, sizes, flags)], minlength=width * width)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+
+def _score(batches: Iterator[pa.RecordBatch], transition: np.ndarray, emission: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for r in _rows(batches):
+        sizes, flags = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["flags"], np.uint8)
+        line, first = _ended(np.frombuffer(r["classes"], np.int16), sizes, len(emission) - 1)
+        steps = np.add.reduceat(transition[line[:-1], line[1:]] - emission[line[1:]], first - 1)
+        sums = np.frombuffer(r["sums"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.frombuffer(r["ids"], np.int64), mask=flags >= 2), pa.array(flags % 2 == 0), pa.array(sizes + 1), pa.array(np.frombuffer(r["known"], np.int64)), pa.array(sums), pa.array(sums + steps)],
+            ["doc_id", "held_out", "n_tokens", "_known", "_sum", "score"],
+        )
+
+
+def _matrix(pairs: DataFrame, width: int) -> np.ndarray:
+    """(pair, n) rows, summed, as a square table; at most width * width numbers reach the driver."""
+    out = np.zeros(width * width)
+    found = pairs.groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    out[found.column("pair").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(width, width)
+
+
+def class_lm_scores(
+    docs: DataFrame, train: Column, frequent: int = 768, rare: int = RARE, classes: int = 64, least: int = 3, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
-    ``train`` (of ``doc_id``) says which rows the model learns from.  Null texts
-    count as empty: their only token is the end.  Rows that repeat are scored
-    each; equal texts have equal scores.  Where nothing can be learned from (an
-    empty table, no training rows), every count is 0: the base is log10(1) = 0
-    for each token.  Other columns are ignored.
+    ``train`` (of ``doc_id``) says which rows the model learns from; where it is
+    null they are held out.  Null texts count as empty: their only token is the
+    end.  Rows that repeat are scored each; equal texts have equal scores.  Where
+    nothing can be learned from (an empty table, no training rows), every count is
+    0: the base is log10(1) = 0 for each token.  Other columns are ignored.
     """
     spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("_own"), "text", train.alias("_train"), "doc_id")
-    parts, endings = shuffle_partitions(spark), rare
-    counted = stored(
-        rows.mapInArrow(partial(_postings, parts=parts, rare=endings), POSTINGS).repartitionById(parts, F.col("part")).mapInArrow(partial(_count, frequent=frequent, rare=endings), SUMS)
-    )
-    sums = (
-        counted.where(F.col("kind").isin("docs", "sums")).drop("hash", "count", "bucket").repartition(parts, "chunk")
-        .mapInArrow(_gather, "doc_id long, _key long, held_out boolean, n_tokens long, _known long, _sum double")
-    )
-    by_ending = {r[0]: (r[1], r[2]) for r in counted.where("kind = 'ending'").groupBy("bucket").agg(F.sum("hash"), F.sum("count")).collect()}
-    best = counted.where("kind = 'top'").select("hash", "count", "bucket").orderBy(F.desc("count"), "hash").limit(frequent).collect()
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("_own"), "text", F.coalesce(train, F.lit(False)).alias("_train"), "doc_id")
+    told = stored(rows.mapInArrow(partial(_chunked, rare=rare), CHUNKS))
+    lines = told.select("words", "endings", "line", "sizes", "flags")
+
+    counted = lines.mapInArrow(partial(_occurrences, parts=parts), COUNTS).repartitionById(parts, F.col("part"))
+    counted = stored(counted.mapInArrow(partial(_count, frequent=frequent, rare=rare), COUNTED))
+    total = counted.where("kind = 'ending'").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("count"), F.lit(0))).first()
+    best = counted.where("kind = 'top'").orderBy(F.desc("count"), "hash").limit(frequent).collect()
     ends = rows.where("_train").count()
-    vocabulary, tokens = sum(v for v, _ in by_ending.values()) + (ends > 0), sum(n for _, n in by_ending.values()) + ends
+    vocabulary, tokens = total[0] + (ends > 0), total[1] + ends
 
     hashes = np.array([r["hash"] for r in best], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    top, ranks = hashes[order], order.astype(np.int64)
-    atoms, segments = len(best) + rare + 1, 16
-    shared = spark.sparkContext.broadcast((top, ranks))
-    grams = rows.where("_train").mapInArrow(partial(_bigrams, top=shared, atoms=atoms, rare=rare, segments=segments), "segment int, counts binary")
-    found = {r[0]: np.frombuffer(r[1], np.int64) for r in grams.repartition(segments, "segment").mapInArrow(_add, "segment int, counts binary").collect()}
-    blank = np.array_split(np.zeros(atoms * atoms, np.int64), segments)
-    counts = np.concatenate([found.get(s, blank[s]) for s in range(segments)]).reshape(atoms, atoms).astype(np.float64)
+    atoms, width = len(best) + rare + 1, classes + 1
+    top = spark.sparkContext.broadcast((hashes[order], order.astype(np.int64)))
+    counts = _matrix(lines.mapInArrow(partial(_bigrams, top=top, atoms=atoms, rare=rare), "pair long, n long"), atoms)
     own = exchange(counts, classes)
-
-    v, n = np.zeros(atoms), np.zeros(atoms)
-    for k, r in enumerate(best):
-        v[k], n[k] = 1, r["count"]
-    for b, (bv, bn) in by_ending.items():
-        v[len(best) + b], n[len(best) + b] = bv, bn
-    for r in best:  # of the ending's words, the frequent ones are atoms of their own
-        v[len(best) + r["bucket"]] -= 1
-        n[len(best) + r["bucket"]] -= r["count"]
-    member = np.zeros((atoms, classes + 1))
+    member = np.zeros((atoms, width))
     member[np.arange(atoms), own] = 1
-    table = member.T @ counts @ member
-    emission = np.log10(n @ member + v @ member + 1)
+
+    contexts = lines.mapInArrow(partial(_contexts, top=top, own=own, parts=parts), CONTEXTS).repartitionById(parts, F.col("part"))
+    placed = stored(contexts.mapInArrow(partial(_place_words, top=top, table=member.T @ counts @ member, least=least, parts=parts), VOCABULARY))
+    asked = told.select("chunk", "words").mapInArrow(partial(_requests, parts=parts), REQUESTS)
+    known = placed.select("part", F.lit(None).cast("long").alias("chunk"), "words", "counts", "classes")
+    # within a task, the words of a part come before what asks for them, and a chunk after its answers
+    answers = known.union(asked).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("chunk").asc_nulls_first()).mapInArrow(_answers, REQUESTS)
+    both = told.drop("words").unionByName(answers.drop("words"), allowMissingColumns=True).select("chunk", "part", "counts", "classes", "endings", "line", "sizes", "ids", "flags", "keys")
+    classed = stored(both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("part").asc_nulls_last()).mapInArrow(partial(_classed, endings=own[len(best) : len(best) + rare]), CLASSED))
+
+    table = _matrix(classed.select("classes", "sizes", "flags").mapInArrow(partial(_class_bigrams, width=width), "pair long, n long"), width)
+    mass = np.zeros(width)
+    for n, v in placed.where("n_class is not null").select("n_class", "v_class").toLocalIterator():
+        mass += np.frombuffer(n, np.int64) + np.frombuffer(v, np.int64)
+    emission = np.log10(mass + 1)
     emission[classes] = 0  # the end is the only word of its class
-    transition = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * (classes + 1)))
-    model = spark.sparkContext.broadcast({"top": top, "ranks": ranks, "rare": rare, "classes": own, "transition": transition, "emission": emission})
-    steps = rows.mapInArrow(partial(_score, model=model), "_id long, _own long, _steps double").groupBy("_id", "_own").agg(F.first("_steps").alias("_steps"))
-    score = F.col("_sum") + F.col("_steps")
-    return sums.join(steps, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_own"))).select(
+    transition = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * width))
+    scored = classed.mapInArrow(partial(_score, transition=transition, emission=emission), "doc_id long, held_out boolean, n_tokens long, _known long, _sum double, score double")
+    return scored.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("_known") + F.lit(int(ends > 0))).alias("n_known"),
         F.lit(tokens).cast("long").alias("train_tokens"),
         (F.col("_sum") + F.lit(float(np.log10(ends + 1))) - F.col("n_tokens") * F.lit(float(np.log10(tokens + vocabulary + 1)))).alias("base_score"),
-        score.alias("score"),
-        F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
+        "score",
+        F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -233,6 +234,65 @@ def test_class_lm(docs, none):
     assert [r["train_tokens"] for r in untrained] == [0, 0]
 
 
+def test_class_lm_against_brute_force(docs):
+    """Scores, and the class of every word, from counts in plain dictionaries."""
+    frequent, rare, classes, least = 12, 7, 4, 2
+    held = quality_knn.held_out(F.col("doc_id"), of=7)
+    texts = [(i, words(t)) for i, t, *_ in ugly()]
+    learn = [w for i, w in texts if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    counts = Counter(w for line in learn for w in line)
+    told = {w: tokens.words_of(pa.array([w])) for _, line in texts for w in line}
+    code = {w: int(x.hashes[0]) for w, x in told.items()}
+    ending = {w: int(tokens.suffix_buckets(x, rare)[0]) for w, x in told.items()}
+    top = sorted(counts, key=lambda w: (-counts[w], int(np.uint64(code[w]).view(np.int64))))[:frequent]
+    atom = {w: top.index(w) if w in top else len(top) + ending[w] for w in told}
+    end = len(top) + rare
+    pairs = Counter(p for line in learn for p in zip([None, *line], [*line, None], strict=True))
+    table = np.zeros((end + 1, end + 1))
+    for (a, b), n in pairs.items():
+        table[atom.get(a, end), atom.get(b, end)] += n
+    own = class_lm.exchange(table, classes)
+    member = np.eye(classes + 1)[own]
+    grid = member.T @ table @ member
+    f = lambda x: x * math.log(x) if x > 0 else 0.0
+    first = {w: int(own[atom[w]]) for w in told} | {None: classes}
+    of = dict(first)
+    for w in counts:
+        if w in top or counts[w] < least:
+            continue
+        to, fro = np.zeros(classes + 1), np.zeros(classes + 1)
+        for (a, b), n in pairs.items():
+            to[first[b]] += n * (a == w)
+            fro[first[a]] += n * (b == w)
+        gain = []
+        for k in range(classes):
+            own_row, own_column = to * (k == first[w]), fro * (k == first[w])
+            row, column = np.maximum(grid[k] - own_row, 0), np.maximum(grid[:, k] - own_column, 0)
+            g = sum(f(x + y) - f(x) for x, y in zip(row, to, strict=True)) + sum(f(x + y) - f(x) for x, y in zip(column, fro, strict=True))
+            out, into = max(grid[k].sum() - own_row.sum(), 0), max(grid[:, k].sum() - own_column.sum(), 0)
+            gain.append(g - f(out + to.sum()) + f(out) - f(into + fro.sum()) + f(into))
+        if max(gain) > gain[first[w]] + 1e-9:
+            of[w] = int(np.argmax(gain))
+    steps, size, mass = Counter(), Counter(), Counter()
+    for (a, b), n in pairs.items():
+        steps[of[a], of[b]] += n
+        size[of[a]] += n
+    for w, n in counts.items():
+        mass[of[w]] += n + 1
+
+    def score(line):
+        total = 0.0
+        for a, b in zip([None, *line], [*line, None], strict=True):
+            total += math.log10((steps[of[a], of[b]] + 0.1) / (size[of[a]] + 0.1 * (classes + 1)))
+            if b is not None:
+                total += math.log10((counts[b] + 1) / (mass[of[b]] + 1))
+        return total
+
+    rows = class_lm.class_lm_scores(docs, ~held, frequent=frequent, rare=rare, classes=classes, least=least).collect()
+    assert sorted(round(r["score"], 6) for r in rows) == pytest.approx(sorted(round(score(line), 6) for _, line in texts), abs=1e-5)
+    assert sum(of[w] != first[w] for w in counts) > 0
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(2)
     counts = rng.poisson(1, (41, 41)).astype(float)
