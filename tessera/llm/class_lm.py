@@ -12,11 +12,10 @@ frequent word is sent once for each chunk, not once for each occurrence.
    atoms by their ending.  The exchange algorithm moves atoms between classes while
    that raises the likelihood of the training bigrams.  Only tables of atoms and
    classes (a fixed size) reach the driver.
-3. Every other word that training texts hold at least ``least`` times is then moved
+3. Every other word that training texts hold (``least`` times or more) is then moved
    by itself: the parts know how often it stands before and behind each class, and
    put it into the class where the likelihood gains most, all other words staying
-   where they are.  Rarer words stay in the class of their ending, unseen ones too:
-   a single context says little about a word (figures in the README).
+   where they are.  Unseen words are in the class of their ending.
 4. Chunks ask the parts for the counts and classes of their words - the vocabulary is
    never broadcast - and keep the class of each token.  Class bigrams are counted over
    these for all training texts, and documents are scored from them.
@@ -387,7 +386,7 @@ def _matrix(pairs: DataFrame, width: int) -> np.ndarray:
 
 
 def class_lm_scores(
-    docs: DataFrame, train: Column, frequent: int = 768, rare: int = RARE, classes: int = 64, least: int = 3, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, train: Column, frequent: int = 768, rare: int = RARE, classes: int = 64, least: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row for each document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, perplexity.
 
