@@ -90,6 +90,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language_id import identify_languages
+    from tessera.llm.quality_knn import held_out
+
+    out = held_out(F.col("doc_id"), of=3, remainder=1)
+    told = identify_languages(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), ~out)
+    return told.select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.spelling_variants import spelling_variants
 
@@ -113,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_sharding": op9_sharding,
     "op10_mixing": op10_mixing,
+    "op11_language_id": op11_language_id,
     "op12_spelling_variants": op12_spelling_variants,
     "op13_whitening": op13_whitening,
 }
