@@ -18,6 +18,13 @@ from pyspark.sql.types import StringType
 APOSTROPHES = "’᾽ʼ"
 SIGMAS = "ςϲϹ"
 SPACE = "[ \\t\\n\\r\\f\\x0B]+"
+#: Editorial brackets, each opening sign before its closing one.
+BRACKETS = "[]<>{}⟨⟩〈〉‹›⟦⟧⸢⸣⸤⸥"
+_BRACKET = "".join("\\" + c if c in "[]" else c for c in BRACKETS)
+INNERMOST = "|".join(f"[{o}][^{_BRACKET}]*[{c}]" if o != "[" else f"\\[[^{_BRACKET}]*\\]" for o, c in zip(BRACKETS[::2], BRACKETS[1::2], strict=True))
+LONE_CLOSING, LONE_OPENING = "(?m)^[^\\n]*[\\]" + BRACKETS[3::2] + "]", "[\\[" + BRACKETS[2::2] + "][^\\n]*"
+#: Depth to which brackets in brackets are told apart.
+DEPTH = 4
 
 
 @F.arrow_udf(StringType())
@@ -58,6 +65,18 @@ def letter_words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("\\p{L}+"), F.lit(0))
 
 
+def readable(text: Column) -> Column:
+    """The text with an ellipsis in place of all that stands in editorial brackets.
+
+    Pairs may reach over lines, which then are one.  A bracket without its
+    partner takes the rest of its line (a closing one, the start), and so do
+    pairs that lie deeper than DEPTH.
+    """
+    for _ in range(DEPTH):
+        text = F.regexp_replace(text, INNERMOST, "…")
+    return F.regexp_replace(F.regexp_replace(text, LONE_CLOSING, "…"), LONE_OPENING, "…")
+
+
 def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 

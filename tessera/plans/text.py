@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import fold_search, letter_words, mirror_preference, phrase_pattern, split_bucket, strip_marks, text_key, work_id
+from tessera.functions.text import DEPTH, INNERMOST, LONE_CLOSING, LONE_OPENING, fold_search, letter_words, mirror_preference, phrase_pattern, split_bucket, strip_marks, text_key, work_id
 from tessera.operators import lexical, retrieval, similar
-from tessera.operators.sequence import contained_sequences, sequence_matches
+from tessera.operators import sequence
+from tessera.operators.sequence import contained_sequences
 from tessera.plans.registry import query, table
+from tessera.sources.stored import remembered
 
 TERMS = ("heha", "the", "with")
 PHRASE = "of the"
@@ -42,7 +44,7 @@ _DOCS = "docs AS (SELECT d.*, CASE l.quality WHEN 1 THEN 'source_text' WHEN 0 TH
 def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrase and term search, copies grouped, the second page; texts are looked at once and never carried through the windows."""
     docs = table(spark, sf_dir, "documents")
-    tokens = lexical.token_table(docs)
+    tokens = text_tokens(spark, sf_dir)
     exact = docs.where(F.lower("text").rlike(phrase_pattern(PHRASE))).select(F.col("doc_id").alias("id"))
     found = lexical.term_candidates(tokens, exact, TERMS)
     narrow = docs.select(F.col("doc_id").alias("id"), "source", "lang", F.md5("text").alias("key"))
@@ -54,12 +56,12 @@ def lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS} SELECT normalized, min(form) AS form, sum(count) AS count FROM tok GROUP BY 1")
 def vocabulary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.vocabulary(lexical.token_table(table(spark, sf_dir, "documents")))
+    return lexical.vocabulary(text_tokens(spark, sf_dir))
 
 
 @query(f"WITH {_TOKENS} SELECT normalized, sum(count) AS count FROM tok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 100")
 def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = lexical.token_table(table(spark, sf_dir, "documents"))
+    tokens = text_tokens(spark, sf_dir)
     return tokens.groupBy("normalized").agg(F.sum("count").alias("count")).orderBy(F.desc("count"), "normalized").limit(100)
 
 
@@ -112,25 +114,25 @@ def mirror_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TOKENS}, {_BM25.format(terms="'heha', 'the', 'with'")} SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 50")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(lexical.token_table(table(spark, sf_dir, "documents")), TERMS).select("id", "score").orderBy(F.desc("score"), "id").limit(50)
+    return lexical.bm25(text_tokens(spark, sf_dir), TERMS).select("id", "score").orderBy(F.desc("score"), "id").limit(50)
 
 
 @query(f"WITH {_TOKENS}, {_BM25.format(terms="'heha', 'the', 'with'")} SELECT id, score, covered FROM scored ORDER BY covered DESC, score DESC, id LIMIT 50")
 def bm25_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.bm25(lexical.token_table(table(spark, sf_dir, "documents")), TERMS).orderBy(F.desc("covered"), F.desc("score"), "id").limit(50)
+    return lexical.bm25(text_tokens(spark, sf_dir), TERMS).orderBy(F.desc("covered"), F.desc("score"), "id").limit(50)
 
 
 @query(f"""WITH {_TOKENS}, own AS (SELECT DISTINCT normalized FROM tok WHERE id IN (1, 2, 3, 4, 5) AND length(normalized) >= 4)
     SELECT normalized, sum(count) AS count FROM tok JOIN own USING (normalized) GROUP BY 1 HAVING sum(count) > 1 AND sum(count) <= 400 ORDER BY 2, 1 LIMIT 30""")
 def prf_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical.feedback_terms(lexical.token_table(table(spark, sf_dir, "documents")), [1, 2, 3, 4, 5])
+    return lexical.feedback_terms(text_tokens(spark, sf_dir), [1, 2, 3, 4, 5])
 
 
 @query(f"""WITH {_TOKENS}, t(gid, key) AS (VALUES (1, 'the'), (1, 'la'), (2, 'of'), (2, 'de'), (3, 'with'), (3, 'que'))
     SELECT id, count(DISTINCT gid) AS groups FROM tok JOIN t ON normalized = key GROUP BY id HAVING count(DISTINCT gid) = 3""")
 def all_terms_division(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = spark.createDataFrame([(1, "the"), (1, "la"), (2, "of"), (2, "de"), (3, "with"), (3, "que")], "gid int, key string")
-    return lexical.all_groups_present(lexical.token_table(table(spark, sf_dir, "documents")), groups)
+    return lexical.all_groups_present(text_tokens(spark, sf_dir), groups)
 
 
 @query("SELECT quality, lang, count(*) AS hidden FROM (SELECT d.lang, CASE l.quality WHEN 1 THEN 'source_text' WHEN 0 THEN 'mixed_content' ELSE 'needs_review' END AS quality FROM documents d LEFT JOIN labels l USING (doc_id) WHERE contains(lower(text), 'of the')) WHERE quality <> 'source_text' GROUP BY 1, 2")
@@ -167,15 +169,56 @@ def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(two, "id").where("abs(a - b) <= 3").groupBy("id").agg(F.min(F.abs(F.col("a") - F.col("b"))).cast("long").alias("distance"))
 
 
-@query()
+def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, form, normalized, count) of all documents: stored once for each version of the table, in ranges of terms."""
+    build = lambda docs: lexical.token_table(docs).repartitionByRange("normalized", "id").sortWithinPartitions("normalized", "id")
+    return remembered(table(spark, sf_dir, "documents"), "tokens", build)
+
+
+def text_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The positional index of all documents, stored once for each version of the table."""
+    return remembered(table(spark, sf_dir, "documents"), "positions", sequence.positional_index)
+
+
+_BARE = sequence.BARRIER.replace("'", "''")
+
+
+def _readable_sql(text: str) -> str:
+    """``readable`` in SQL."""
+    for _ in range(DEPTH):
+        text = f"regexp_replace({text}, '{INNERMOST}', '…', 'g')"
+    return f"regexp_replace(regexp_replace({text}, '{LONE_CLOSING}', '…', 'g'), '{LONE_OPENING}', '…', 'g')"
+
+
+_PLACES = f"""pieces AS (SELECT id, unnest(s) AS piece, unnest(range(len(s))) AS segment FROM (SELECT doc_id AS id, string_split_regex({_readable_sql("text")}, '{_BARE}') AS s FROM documents)),
+    occ AS (SELECT id, segment, unnest(w) AS form, unnest(range(len(w))) AS place FROM (SELECT id, segment, regexp_extract_all(piece, '\\p{{L}}+') AS w FROM pieces))"""
+ORDERED, SLOP = [{"of", "de"}, {"the", "la"}, {"with", "pour", "of"}], 2
+REPEATED = [{"with"}, {"with"}, {"this", "with", "de"}]
+
+
+@query(f"""WITH {_PLACES}, m AS (SELECT *, lower(form) AS t FROM occ),
+    hits AS (SELECT a.id, a.segment, a.place AS first, b.place AS middle, c.place AS last, a.form || ' ' || b.form || ' ' || c.form AS forms FROM m a JOIN m b ON b.id = a.id AND b.segment = a.segment AND b.place > a.place AND b.place <= a.place + 4
+        JOIN m c ON c.id = a.id AND c.segment = a.segment AND c.place > b.place AND c.place <= a.place + 4 WHERE a.t IN ('of', 'de') AND b.t IN ('the', 'la') AND c.t IN ('with', 'pour', 'of'))
+    SELECT id, segment, first, last, last - first - 2 AS extra_words, forms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY segment, first, middle, last) AS k FROM hits) WHERE k = 1""")
 def sequence_ordered_slop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words in order with up to two others between them; brackets and gaps part them."""
-    return sequence_matches(table(spark, sf_dir, "documents"), [{"of", "de"}, {"the", "la"}, {"with", "pour"}], "ordered", 2)
+    return sequence.in_order(text_positions(spark, sf_dir), ORDERED, SLOP)
 
 
-@query()
+@query(f"""WITH {_PLACES}, m AS (SELECT id, segment, place, form, CASE lower(form) WHEN 'with' THEN 3 ELSE 2 END AS mask FROM occ WHERE lower(form) IN ('with', 'this', 'de')),
+    w AS (SELECT *, count_if(mask = 3) OVER r AS a, count(*) OVER r AS b FROM m WINDOW r AS (PARTITION BY id, segment ORDER BY place RANGE BETWEEN CURRENT ROW AND 11 FOLLOWING)),
+    f AS (SELECT id, segment, place AS first FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY segment, place) AS k FROM w WHERE a >= 2 AND b >= 3) WHERE k = 1),
+    i AS (SELECT m.*, first, count_if(mask = 3) OVER s >= 2 AND count(*) OVER s >= 3 AS ok FROM m JOIN f ON m.id = f.id AND m.segment = f.segment AND place BETWEEN first AND first + 11 WINDOW s AS (PARTITION BY m.id ORDER BY place ROWS UNBOUNDED PRECEDING)),
+    l AS (SELECT id, min(place) AS last FROM i WHERE ok GROUP BY id)
+    SELECT i.id, segment, first, last, last - first - 2 AS extra_words, string_agg(form, ' ' ORDER BY place) AS forms FROM i JOIN l ON i.id = l.id AND place <= last GROUP BY i.id, segment, first, last""")
+def sequence_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three words in any order among twelve; one is asked for twice, and fits the third as well."""
+    return sequence.near_each_other(text_positions(spark, sf_dir), REPEATED, 9)
+
+
+@query(f"""WITH {_PLACES} SELECT id, count(*) AS tokens FROM occ WHERE lower(form) IN ('with', 'this', 'de') GROUP BY id HAVING count_if(lower(form) = 'with') >= 2 AND count(*) >= 3""")
 def sequence_all_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence_matches(table(spark, sf_dir, "documents"), [{"with"}, {"with"}, {"this"}], "all_terms")
+    return sequence.all_words(text_positions(spark, sf_dir), REPEATED)
 
 
 @query("""WITH q AS (SELECT item_id, regexp_extract_all(lower(text), '\\p{L}+') AS t FROM benchmark), d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '\\p{L}+'), ' ') || ' ' AS s FROM documents)
@@ -223,7 +266,7 @@ def _benchmark_words(spark: SparkSession, sf_dir: str, which: str = "true") -> D
     near AS (SELECT word, normalized, levenshtein(word, normalized) AS distance FROM pool)
     SELECT word, normalized, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, normalized) AS k FROM near WHERE distance <= CASE WHEN length(word) < 6 THEN 1 ELSE 2 END) WHERE k <= 80""")
 def levenshtein_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vocabulary = lexical.token_table(table(spark, sf_dir, "documents")).select("normalized").distinct()
+    vocabulary = text_tokens(spark, sf_dir).select("normalized").distinct()
     vocabulary = vocabulary.select(_spelling(F.col("normalized")).alias("normalized")).distinct()
     return similar.near_keys(vocabulary, _benchmark_words(spark, sf_dir))
 
@@ -231,7 +274,7 @@ def levenshtein_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def difflib_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Close spellings by matching blocks: what no SQL function computes."""
-    vocabulary = lexical.token_table(table(spark, sf_dir, "documents")).select("normalized").distinct()
+    vocabulary = text_tokens(spark, sf_dir).select("normalized").distinct()
     return similar.close_matches(vocabulary, _benchmark_words(spark, sf_dir))
 
 
@@ -268,7 +311,7 @@ def held_out_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mine = docs.where("doc_id = 1").select(F.col("source").alias("mine"))
-    scored = lexical.bm25(lexical.token_table(docs), TERMS)
+    scored = lexical.bm25(text_tokens(spark, sf_dir), TERMS)
     candidates = scored.join(docs.select(F.col("doc_id").alias("id"), "source"), "id").crossJoin(F.broadcast(mine))
     candidates = candidates.select(F.lit(1).alias("query_id"), "id", "score", (F.col("source") == F.col("mine")).alias("same_work"), (F.col("covered") / 3.0).alias("overlap"))
     return retrieval.hard_negatives(candidates, 20).select("id", "score", F.col("rank").cast("long").alias("rank"))

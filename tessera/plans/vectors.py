@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import lexical, retrieval
 from tessera.plans.registry import query, table
-from tessera.plans.text import TERMS, _BM25, _TOKENS
+from tessera.plans.text import TERMS, _BM25, _TOKENS, text_tokens
 
 
 
@@ -60,14 +60,14 @@ def pooled_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_TOKENS}, f AS (SELECT normalized, count(DISTINCT id) AS df FROM tok GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 200), t AS (SELECT count(DISTINCT id) AS n FROM tok), tf AS (SELECT id, normalized, sum(count) AS tf FROM tok GROUP BY ALL)
     SELECT id, normalized, round((1 + ln(tf)) * ln(1 + n / (1 + df)), 6) AS weight FROM tf JOIN f USING (normalized), t""")
 def tfidf_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = lexical.token_table(table(spark, sf_dir, "documents"))
+    tokens = text_tokens(spark, sf_dir)
     return retrieval.tf_idf(tokens, 200).withColumn("weight", F.round("weight", 6))
 
 
 @query()
 def usage_space(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places of the occurrences of one word in a space of three dimensions; signs of axes are free, so there is no SQL."""
-    tokens = lexical.token_table(table(spark, sf_dir, "documents"))
+    tokens = text_tokens(spark, sf_dir)
     chosen = tokens.where("normalized = 'heha'").select("id").distinct().orderBy("id").limit(120)
     weights = retrieval.tf_idf(tokens.join(F.broadcast(chosen), "id"), 2500)  # at most 120 points
     return spark.createDataFrame(retrieval.usage_space(weights), "id long, x double, y double, z double")
@@ -85,7 +85,7 @@ _LISTS = f"""{_TOKENS}, {_BM25.format(terms="'heha', 'the', 'with'")}, parent AS
 
 def _ranked_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    scored = lexical.bm25(lexical.token_table(docs), TERMS)
+    scored = lexical.bm25(text_tokens(spark, sf_dir), TERMS)
     place = lambda rows, *order: rows.withColumn("position", F.row_number().over(Window.orderBy(*order)))
     lex = place(scored.orderBy(F.desc("score"), "id").limit(400), F.desc("score"), "id").select(F.lit("lexical").alias("signal"), "position", "id")
     forms = place(scored.orderBy(F.desc("covered"), "id").limit(400), F.desc("covered"), "id").select(F.lit("forms").alias("signal"), "position", "id")

@@ -65,33 +65,6 @@ def test_shingle_pairs_against_brute_force(spark):
     assert [r[:3] for r in rows(similar.shingle_pairs(df))] == brute
 
 
-@pytest.mark.parametrize(
-    ("text", "groups", "relation", "slop", "extra"),
-    [
-        ("alpha extra beta", ["alpha", "beta"], "ordered", 0, None),
-        ("alpha extra beta", ["alpha", "beta"], "ordered", 1, 1),
-        ("beta alpha", ["alpha", "beta"], "ordered", 3, None),
-        ("beta alpha", ["alpha", "beta"], "proximity", 0, 0),
-        ("alpha [gap] beta", ["alpha", "beta"], "ordered", 3, None),
-        ("alpha … beta", ["alpha", "beta"], "proximity", 3, None),
-        ("[alpha] beta", ["alpha", "beta"], "all_terms", 0, None),
-    ],
-)
-def test_sequences(text, groups, relation, slop, extra):
-    found = seq.match(text, [{g} for g in groups], relation, slop)
-    assert (found["extra_words"] if found else None) == extra
-    assert bool(found) == (extra is not None)
-
-
-def test_repeated_words_need_distinct_tokens(spark):
-    assert seq.match("alpha", [{"alpha"}, {"alpha"}], "all_terms") is None
-    assert sorted(seq.match("alpha … alpha", [{"alpha"}, {"alpha"}], "all_terms")["tokens"]) == [0, 1]
-    with pytest.raises(seq.TooMuchWork):
-        seq.match("a " * 100, [{"b"}], "ordered", 50, budget=100)
-    df = spark.createDataFrame([(1, "one two"), (2, "two one"), (3, None), (4, "Óne two")], "doc_id int, text string")
-    assert sorted(r["id"] for r in seq.sequence_matches(df, [{"one"}, {"two"}]).collect()) == [1, 4]
-
-
 def test_contained_sequences(spark):
     quotes = spark.createDataFrame([("q", ["b", "c"]), ("r", ["c", "b"])], "quote_id string, tokens array<string>")
     texts = spark.createDataFrame([(1, ["a", "b", "c"]), (2, ["b"]), (3, ["b", "c", "b", "c"])], "id int, tokens array<string>")
