@@ -89,7 +89,7 @@ def fused_translations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fused(spark, sf_dir, fusion.Scope(authors=AUTHORS, language="eng"))
 
 
-WORDS = ("the", "er", "ation", "thing")
+WORDS = ("the", "an", "at", "st")
 _SUFFIX, _PREFIX = "(tion|ing|ed|er)$", "^(un|re|in)"
 
 
