@@ -19,7 +19,8 @@ partner occurs in at least T of a document's inverted lists.
 5. Several rounds of blocks leave few links open; those are found exactly: with
    T occurrences among f shared shingles, two linked classes have one in common
    among the f - T + 1 rarest of each.  Shingles there that occur in more than
-   one component give candidate pairs across components, which are verified.
+   one component give candidates across components; those of one class are
+   searched together, again by DivideSkip, which alone decides what links.
    So no link between different texts is lost, and pairs inside a component are
    never written out.
 """
@@ -40,6 +41,8 @@ from tessera.llm.components import components
 from tessera.llm.tokens import chunks, mix, shingle_sets, words_of
 
 BLOCK = 48
+#: Candidates of a query that are looked up at once.
+LOOKED_UP = 256
 ROUNDS = 3
 OPEN = "key long, n int, shingles binary, " + ", ".join(f"m{r} long" for r in range(ROUNDS))
 
@@ -232,14 +235,49 @@ def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
             )
 
 
+def t_occurrence(query: np.ndarray, size: int, sets: list[np.ndarray], sizes: list[int], percent: int) -> list[int]:
+    """Which of ``sets`` link with a query set: DivideSkip over their inverted lists.
+
+    A partner has at least T of the query's shingles.  The T - t longest lists
+    are set aside, so it is at least t times in the short ones, which are merged;
+    those that are get their long shingles counted by binary search.  (Fewer than
+    T shared shingles are no answer, whatever the order of the lists.)
+    """
+    least = required(size, percent)
+    query = np.unique(query)
+    places = [np.searchsorted(query, s[np.isin(s, query, assume_unique=True)]) for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(p) for p in places])
+    at = np.concatenate(places) if places else np.zeros(0, np.int64)
+    order = np.argsort(at, kind="stable")
+    lists, bounds = owner[order], np.searchsorted(at[order], np.arange(len(query) + 1))
+    by_length = np.argsort(np.diff(bounds), kind="stable")
+    enough = max(1, least // 20)
+    cut_at = max(0, len(query) - least + enough)
+    short, long = by_length[:cut_at], np.sort(by_length[cut_at:])
+    seen: dict[int, int] = {}
+    for d in heapq.merge(*[lists[bounds[s] : bounds[s + 1]].tolist() for s in short.tolist()]):
+        seen[d] = seen.get(d, 0) + 1
+    out = []
+    for d, n in seen.items():
+        if n >= enough:
+            own = np.sort(places[d])
+            to = np.minimum(np.searchsorted(own, long), max(len(own) - 1, 0))
+            if linked(n + int((own[to] == long).sum()), size, sizes[d], percent):
+                out.append(d)
+    return sorted(out)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        keep = []
-        for i, (n, m, s, t) in enumerate(zip(*[b.column(k).to_pylist() for k in range(2, 6)], strict=True)):
-            overlap = len(np.intersect1d(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), assume_unique=True))
-            if linked(overlap, n, m, percent):
-                keep.append(i)
-        yield b.select([0, 1]).take(pa.array(keep, pa.int64()))
+    """(ra, rb, n, m, s, t, b), rows of one query b together: the links between the components."""
+    for batch in batches:
+        ra, rb, n, m, s, t, b = (batch.column(k).to_pylist() for k in range(7))
+        keep, lo = [], 0
+        for hi in range(1, len(b) + 1):
+            if hi == len(b) or b[hi] != b[lo] or hi - lo == LOOKED_UP:
+                candidates = [np.frombuffer(x, np.uint64) for x in s[lo:hi]]
+                keep += [lo + k for k in t_occurrence(np.frombuffer(t[lo], np.uint64), m[lo], candidates, n[lo:hi], percent)]
+                lo = hi
+        yield pa.RecordBatch.from_arrays([pa.array([ra[k] for k in keep], pa.int64()), pa.array([rb[k] for k in keep], pa.int64())], ["a", "b"])
 
 
 def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -288,7 +326,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     of = opened.select("key", "n", "shingles")
     first, second = of.toDF("_a", "n", "s"), of.toDF("_b", "m", "t")
     both = pairs.join(first, F.col("a") == F.col("_a")).join(second, F.col("b") == F.col("_b"))
-    late = both.select("ra", "rb", "n", "m", "s", "t").mapInArrow(partial(_verify, percent=percent), "a long, b long")
+    late = both.select("ra", "rb", "n", "m", "s", "t", "b").mapInArrow(partial(_verify, percent=percent), "a long, b long")
     merged = components(late).toDF("_root", "_top")
     # two joins that can be split at a hot root, in place of a full one that can't
     known = labels.join(merged, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_top", "root").alias("top"))

@@ -1,24 +1,28 @@
 """Vectorised words and word shingles of Arrow texts.
 
 A word is a run of bytes other than space and 0x09 to 0x0D; A-Z count as a-z.
-Words and shingles are known by 64-bit hashes.  A whole chunk of texts is hashed
-at once: prefix sums of byte values times powers of an odd base give each word's
-polynomial, which is shifted back by the inverse power and mixed.
+Words and shingles are known by 64-bit hashes.  The words of a whole chunk are
+hashed at once, eight bytes at a time, each mixed with what came before; words
+of more than 32 bytes, which are few, by BLAKE2b.  (A polynomial modulo 2**64
+would not do: words of 1,024 letters built like the Thue-Morse word and its
+complement have the same value for any base.)
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
-_inverse = np.ones(1, np.uint64)
+#: Bytes of a word that are hashed with those of all others.
+SHORT = 32
+#: The first k bytes of eight, for k from 0 to 8.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -30,8 +34,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-_VALUES[65:91] = _VALUES[97:123]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] = _LOWER[97:123]
 _GAP = np.zeros(256, bool)
@@ -39,15 +41,20 @@ _GAP[[32, 9, 10, 11, 12, 13]] = True
 _PLACES = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
-def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverse
-    if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
-        with np.errstate(over="ignore"):
-            back = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            _powers = np.concatenate([[np.uint64(1)], np.full(size - 1, _BASE)]).cumprod(dtype=np.uint64)
-            _inverse = np.concatenate([[np.uint64(1)], np.full(size - 1, back)]).cumprod(dtype=np.uint64)
-    return _powers, _inverse
+def _hashes(low: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Of each word, which is known by where it begins in the bytes ``low`` and its length."""
+    padded = np.concatenate([low, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(low),), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    with np.errstate(over="ignore"):
+        out = mix(lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        for lane in range(SHORT // 8):
+            at = np.flatnonzero((lengths > 8 * lane) & (lengths <= SHORT))
+            if len(at) == 0:
+                break
+            out[at] = mix(out[at] ^ (eight[starts[at] + 8 * lane] & _FIRST[np.minimum(lengths[at] - 8 * lane, 8)]))
+    for i in np.flatnonzero(lengths > SHORT).tolist():
+        out[i] = int.from_bytes(blake2b(low[starts[i] : starts[i] + lengths[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
 
 
 @dataclass
@@ -96,11 +103,7 @@ def words_of(texts: pa.Array) -> Words:
     before[offsets[:-1][offsets[:-1] < n]] = False
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
-    powers, inverse = _powers_to(n)
-    with np.errstate(over="ignore"):
-        sums = np.cumsum(_VALUES[data] * powers[:n], dtype=np.uint64)
-        hashes = sums[ends] - np.where(starts > 0, sums[starts - 1], np.uint64(0))
-        hashes = mix(hashes * inverse[starts] + (ends - starts + 1).astype(np.uint64))
+    hashes = _hashes(_LOWER[data], starts, ends - starts + 1)
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data, offsets)
 
 
