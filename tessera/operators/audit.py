@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.stored import materialized
+
 
 def findings(rows: DataFrame, id_col: str, rules: Sequence[tuple[str, str, Column]]) -> DataFrame:
     """(id, severity, code) for every rule (code, severity, broken) that a row breaks; all rules in one pass."""
@@ -81,3 +83,56 @@ def reconcile(rows: DataFrame, found: DataFrame, by: str, *more: Column) -> Data
     joined = own.join(other, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("present", F.coalesce("_present", F.lit(0)))
     state = F.when(F.col("present") == 0, "missing").when(F.col("present") < F.col("rows"), "partial").otherwise("complete")
     return joined.withColumns({"share": F.round(F.col("present") / F.col("rows"), 4), "state": state}).drop("_by", "_present")
+
+
+def patched(tokens: DataFrame, vocabulary: DataFrame, news: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Token table and vocabulary after the tokens of new texts came in; only keys that these hold are counted anew.
+
+    ``tokens`` (id, form, normalized, count), ``vocabulary`` (normalized, form,
+    count).  The rows of other keys are taken over as they are.
+    """
+    grown = tokens.unionByName(news.select(*tokens.columns))
+    touched = news.select("normalized").distinct()
+    own = grown.join(touched, "normalized", "left_semi")
+    fresh = own.groupBy("normalized").agg(F.min("form").alias("form"), F.sum("count").alias("count"))
+    return grown, replace_touched(vocabulary, fresh.select(*vocabulary.columns), "normalized", touched)
+
+
+def appended_works(works: DataFrame, additions: DataFrame, key: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(works, placed additions): counts of touched works grown, and the new rows placed behind the old ones.
+
+    ``works``: the key and ``count``.  New works begin at 0.
+    """
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
+    before = works.select(*[F.col(k).alias(f"_{k}") for k in key], F.col("count").alias("_count"))
+    same = F.expr(" and ".join(f"{k} <=> _{k}" for k in key))
+    placed = additions.withColumn("_place", place).join(before, same, "left").withColumn("sequence", F.col("_place") + F.coalesce("_count", F.lit(0)))
+    more = additions.groupBy(*key).agg(F.count(F.lit(1)).alias("count"))
+    grown = works.select(*key, "count").unionByName(more).groupBy(*key).agg(F.sum("count").alias("count"))
+    return grown, placed.select(*additions.columns, "sequence")
+
+
+def with_ordinals(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows numbered from 0 in a total order, without bringing them into one task.
+
+    Ranges of the order are stored, counted, and each numbered by itself from
+    the number of rows in the ranges before.
+    """
+    ranges = materialized(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = sorted((r["_range"], r["n"]) for r in ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())  # one row for each range
+    starts, total = [], 0
+    for number, n in sizes:
+        starts.append((number, total))
+        total += n
+    offsets = rows.sparkSession.createDataFrame(starts, "_of int, _start long")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranges.withColumn("_inside", inside).join(F.broadcast(offsets), F.col("_range") == F.col("_of")).withColumn("ordinal", F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_of", "_start")
+
+
+def zipped(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Two numbered tables side by side (``ordinal``, and structs left and right); tables of different lengths fail the query."""
+    a = left.select("ordinal", F.struct(*[c for c in left.columns if c != "ordinal"]).alias("left"))
+    b = right.select(F.col("ordinal").alias("_ordinal"), F.struct(*[c for c in right.columns if c != "ordinal"]).alias("right"))
+    both = a.join(b, F.col("ordinal") == F.col("_ordinal"), "full")
+    whole = F.when(F.col("ordinal").isNull() | F.col("_ordinal").isNull(), F.raise_error(F.lit("the tables have different lengths")).cast("boolean")).otherwise(True)
+    return both.where(whole).drop("_ordinal")

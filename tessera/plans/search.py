@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import letter_words, strip_marks
-from tessera.operators import alignment, expansion, fusion, lexical
+from tessera.operators import alignment, audit, expansion, fusion, lexical, references, search
 from tessera.plans.registry import query, table
 from tessera.plans.text import _TOKENS, _BM25, text_tokens
 from tessera.sources.stored import remembered
@@ -204,3 +204,120 @@ def proven_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = docs.select(F.col("doc_id").alias("parent_id"), (F.col("doc_id") + 2).alias("translation_id"))
     found = alignment.boundary_proofs(pairs, alignment.source_spans(records, sources), readings)
     return found.select("parent_id", "translation_id", "method", *[F.col(c).cast("long").alias(c) for c in ("parent_start", "parent_end", "translation_start", "translation_end")])
+
+
+def document_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records of their source, with a citation."""
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("_q"))
+    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return docs.select(
+        F.col("doc_id").alias("id"), F.array("source").alias("author_keys"), F.col("lang").alias("language"), F.lit("").alias("edition"), F.lit("text").alias("kind"),
+        F.when(F.col("_q") == 0, "mixed_content").otherwise("source_text").alias("quality"), F.concat_ws(" ", "source", F.lit("fr."), F.col("doc_id") % 97).alias("citation"), "text", F.md5(F.concat_ws("|", "lang", "text")).alias("copy_key"),
+    )
+
+
+def _searched(spark: SparkSession, sf_dir: str, text: str, scope: fusion.Scope, page: search.Page) -> DataFrame:
+    tokens = text_tokens(spark, sf_dir)
+    vocabulary = tokens.select("normalized").where(F.col("normalized").rlike("^[a-z]+$"))
+    return search.search(tokens, vocabulary, document_records(spark, sf_dir), text, scope, page)
+
+
+def _searched_sql(text: str, scope: str, offset: int, limit: int) -> str:
+    words = text.lower().split()
+    listed = ", ".join(f"'{w}'" for w in words)
+    pattern = "(^|[^\\p{L}\\p{N}_])" + "[ \\t\\n\\r\\f]+".join(words) + "([^\\p{L}\\p{N}_]|$)"
+    cutoff = 2 if len(words[0]) >= search.LONG_WORD else 1
+    near = f"""keys AS (SELECT DISTINCT normalized AS key, levenshtein(normalized, '{words[0]}') AS distance FROM tok WHERE regexp_full_match(normalized, '[a-z]+') AND levenshtein(normalized, '{words[0]}') <= {cutoff} ORDER BY 2, 1 LIMIT 8)"""
+    later = (
+        "SELECT id, 1 AS stage, count(DISTINCT key) AS matched, -min(distance)::DOUBLE AS score FROM tok JOIN keys ON key = normalized GROUP BY id" if len(words) == 1 else "SELECT id, 2, covered, score FROM scored"
+    )
+    return f"""WITH {_TOKENS}, {_BM25.format(terms=listed)}, {near},
+    rec AS (SELECT doc_id AS id, source, lang, CASE WHEN q = 0 THEN 'mixed_content' ELSE 'source_text' END AS quality, source || ' fr. ' || doc_id % 97 AS citation, text, md5(lang || '|' || text) AS ck FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1) USING (doc_id)),
+    narrow AS (SELECT id, ck, quality <> 'mixed_content' {scope} AS fits FROM rec),
+    exact AS (SELECT id FROM rec WHERE regexp_matches(lower(text), '{pattern}') OR regexp_matches(lower(citation), '{pattern}')),
+    found AS (SELECT id, 0 AS stage, {len(words)} AS matched, NULL::DOUBLE AS score FROM exact UNION ALL {later}),
+    scoped AS (SELECT * FROM found JOIN narrow USING (id) WHERE fits), answers AS (SELECT * FROM scoped WHERE stage = (SELECT min(stage) FROM scoped)),
+    shown AS (SELECT *, row_number() OVER (PARTITION BY ck ORDER BY matched DESC, score DESC NULLS LAST, id) AS k, count(*) OVER (PARTITION BY ck) AS copies, max(matched) OVER (PARTITION BY ck) AS m, max(score) OVER (PARTITION BY ck) AS s FROM answers)
+    SELECT id, CASE stage WHEN 0 THEN 'exact' WHEN 1 THEN 'spelling' ELSE 'words' END AS stage, m::BIGINT AS matched, s AS score, copies, (SELECT count(DISTINCT ck) FROM answers) AS total, (SELECT count(*) FROM exact JOIN narrow USING (id) WHERE NOT fits) AS hidden
+    FROM shown WHERE k = 1 ORDER BY m DESC, s DESC NULLS LAST, id LIMIT {limit} OFFSET {offset}"""
+
+
+@query(_searched_sql("of the", "AND lang = 'en'", 20, 30))
+def search_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase that stands in texts: its second page, in one language."""
+    return _searched(spark, sf_dir, "Of the", fusion.Scope(language="en"), search.Page(20, 30))
+
+
+@query(_searched_sql("thetionnx", "", 0, 50))
+def search_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word that stands nowhere: texts with the nearest spellings."""
+    return _searched(spark, sf_dir, "thetionnx", fusion.Scope(), search.Page(0, 50))
+
+
+@query(_searched_sql("with entre und", "", 0, 50))
+def search_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that stand together nowhere: texts with any of them."""
+    return _searched(spark, sf_dir, "with entre und", fusion.Scope(), search.Page(0, 50))
+
+
+_CITED = """rec AS (SELECT doc_id AS id, doc_id - 1 AS parent_id, CASE WHEN doc_id % 3 = 1 THEN 'translator' ELSE source END AS author, CASE WHEN doc_id % 3 = 1 THEN 'translation' WHEN doc_id % 11 = 0 THEN 'apparatus' ELSE 'text' END AS kind, lang,
+        CASE WHEN doc_id % 7 = 0 THEN 'needs_review' ELSE 'source_text' END AS quality, doc_id % 13 = 0 AS partial,
+        CASE doc_id % 6 WHEN 0 THEN 'fr. ' || n_chars % 40 WHEN 1 THEN 'Page ' || n_chars % 40 || ', LP fr. ' || n_chars % 30 || 'a' WHEN 2 THEN 'frag. ' || n_chars % 40 || '-' || n_chars % 40 + 2 WHEN 3 THEN 'fragment ' || n_chars % 40 || ' Voigt' WHEN 4 THEN (n_chars % 40)::VARCHAR ELSE 'fr. ' || n_chars % 40 || '.4' END AS citation FROM documents)"""
+
+
+def _citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as records that cite fragments in several ways; every third is a translation of the one before."""
+    i, n = F.col("doc_id"), F.col("n_chars")
+    part = lambda m: (n % m).cast("string")
+    forms = [F.concat(F.lit("fr. "), part(40)), F.concat(F.lit("Page "), part(40), F.lit(", LP fr. "), part(30), F.lit("a")), F.concat(F.lit("frag. "), part(40), F.lit("-"), (n % 40 + 2).cast("string")), F.concat(F.lit("fragment "), part(40), F.lit(" Voigt")), part(40), F.concat(F.lit("fr. "), part(40), F.lit(".4"))]
+    citation = F.element_at(F.array(*forms), (i % 6 + 1).cast("int"))
+    kind = F.when(i % 3 == 1, "translation").when(i % 11 == 0, "apparatus").otherwise("text")
+    return table(spark, sf_dir, "documents").select(
+        i.alias("id"), (i - 1).alias("parent_id"), F.when(i % 3 == 1, "translator").otherwise(F.col("source")).alias("author"), F.lit("grc").alias("language"), kind.alias("kind"), F.when(i % 7 == 0, "needs_review").otherwise("source_text").alias("quality"),
+        citation.alias("citation"), (i % 2 == 0).alias("collection"), F.lit(True).alias("extracted"), (i % 13 == 0).alias("partial"), F.lit(False).alias("section"),
+    )
+
+
+@query(f"""WITH {_CITED},
+    said AS (SELECT id, unnest(regexp_extract_all(citation, '{references.FRAGMENT}')) AS m, 1 AS how FROM rec UNION ALL SELECT id, unnest(regexp_extract_all(citation, '{references.NAMED}')), 2 FROM rec UNION ALL SELECT id, citation, 3 FROM rec WHERE id % 2 = 0 AND regexp_matches(citation, '{references.BARE}')),
+    parts AS (SELECT id, CASE how WHEN 1 THEN regexp_extract(m, '{references.FRAGMENT}', 2) WHEN 2 THEN regexp_extract(m, '{references.NAMED}', 2) ELSE regexp_extract(m, '{references.BARE}', 1) END AS number,
+        CASE how WHEN 1 THEN coalesce(nullif(regexp_extract(m, '{references.FRAGMENT}', 1), ''), regexp_extract(m, '{references.FRAGMENT}', 4)) WHEN 2 THEN regexp_extract(m, '{references.NAMED}', 1) ELSE regexp_extract(m, '{references.BARE}', 2) END AS scheme,
+        CASE how WHEN 1 THEN regexp_extract(m, '{references.FRAGMENT}', 3) WHEN 2 THEN regexp_extract(m, '{references.NAMED}', 3) ELSE '' END AS range FROM said),
+    refs AS (SELECT DISTINCT id, lower(number) AS number, lower(scheme) AS scheme FROM parts WHERE range = ''),
+    parent AS (SELECT id, author FROM rec WHERE kind = 'text' AND quality = 'source_text'),
+    answers AS (SELECT id, author AS whose, false AS by_parent FROM rec UNION ALL SELECT r.id, p.author, true FROM rec r JOIN parent p ON p.id = r.parent_id WHERE r.kind = 'translation' AND r.author <> p.author),
+    asked(query_id, author, number, scheme) AS (VALUES (1, 'src1', '12', ''), (2, 'src2', '7', 'voigt'), (3, 'src3', '5a', 'lp'), (4, 'translator', '9', 'page'), (5, 'src4', '3', '')),
+    met AS (SELECT query_id, a.id, by_parent, refs.number || CASE WHEN refs.scheme <> '' THEN ' ' || refs.scheme ELSE '' END AS ref FROM asked q JOIN answers a ON lower(whose) = q.author JOIN refs ON refs.id = a.id AND refs.number = q.number AND (q.scheme = '' OR refs.scheme = q.scheme))
+    SELECT query_id, m.id, CASE WHEN kind = 'apparatus' THEN 'reference_only' WHEN quality = 'needs_review' THEN 'needs_review' WHEN partial THEN 'partial_text' ELSE kind END AS coverage, min(by_parent) AS by_parent, citation, refs
+    FROM (SELECT query_id, id, min(by_parent) AS by_parent, string_agg(DISTINCT ref, ',' ORDER BY ref) AS refs FROM met GROUP BY 1, 2) m JOIN rec ON rec.id = m.id GROUP BY ALL""")
+def cited_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that state a number, by their author or that of the text they translate."""
+    asked = [(1, "src1", "12", None), (2, "SRC2", "7", "Voigt"), (3, "src3", "5a", "LP"), (4, "translator", "9", "Page"), (5, "src4", "3", "")]
+    found = references.cited_records(_citations(spark, sf_dir), spark.createDataFrame(asked, "query_id int, author string, number string, scheme string"))
+    return found.select("query_id", "id", "coverage", "by_parent", "citation", "refs")
+
+
+@query(f"WITH {_TOKENS} SELECT normalized, min(form) AS form, sum(count) AS count FROM tok GROUP BY 1")
+def patched_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after every tenth document came in later: the same as one made anew."""
+    docs = table(spark, sf_dir, "documents")
+    old, news = (lexical.token_table(docs.where(which)) for which in ("doc_id % 10 <> 0", "doc_id % 10 = 0"))
+    return audit.patched(old, lexical.vocabulary(old), news)[1].select("normalized", "form", "count")
+
+
+@query("""WITH o AS (SELECT doc_id, source, lang, doc_id % 10 = 0 AS late FROM documents), p AS (SELECT *, row_number() OVER (PARTITION BY source, lang ORDER BY late, doc_id) - 1 AS sequence FROM o) SELECT doc_id, source, lang, sequence FROM p WHERE late""")
+def placed_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, placed in its work behind those that were there."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    works = rows.where("doc_id % 10 <> 0").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("count"))
+    return audit.appended_works(works, rows.where("doc_id % 10 = 0"), ["source", "lang"], ["doc_id"])[1]
+
+
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS ordinal, event_id, event_type FROM events), b AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS ordinal, event_id, event_type FROM events)
+    SELECT a.ordinal, a.event_id AS recorded, b.event_id AS happened, a.event_type = b.event_type AS same_type FROM a JOIN b USING (ordinal) WHERE a.event_id <> b.event_id""")
+def misplaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two orders of the events, line by line: rows that don't stand where the other order has them."""
+    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
+    both = audit.zipped(audit.with_ordinals(events, ["event_id"]), audit.with_ordinals(events, ["ts", "event_id"]))
+    apart = both.where("left.event_id <> right.event_id")
+    return apart.select("ordinal", F.col("left.event_id").alias("recorded"), F.col("right.event_id").alias("happened"), (F.col("left.event_type") == F.col("right.event_type")).alias("same_type"))

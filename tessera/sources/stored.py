@@ -30,6 +30,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def materialized(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written below the shared folder and read again: the same rows, ranges and all, for every reader."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _path(spark: SparkSession, name: str):
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
