@@ -313,11 +313,11 @@ def placed_additions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.appended_works(works, rows.where("doc_id % 10 = 0"), ["source", "lang"], ["doc_id"])[1]
 
 
-@query("""WITH a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS ordinal, event_id, event_type FROM events), b AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS ordinal, event_id, event_type FROM events)
-    SELECT a.ordinal, a.event_id AS recorded, b.event_id AS happened, a.event_type = b.event_type AS same_type FROM a JOIN b USING (ordinal) WHERE a.event_id <> b.event_id""")
+@query("""WITH a AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal, o_orderkey, o_orderstatus FROM orders), b AS (SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS ordinal, o_orderkey, o_orderstatus FROM orders)
+    SELECT a.ordinal, a.o_orderkey AS recorded, b.o_orderkey AS dated, a.o_orderstatus = b.o_orderstatus AS same_status FROM a JOIN b USING (ordinal) WHERE a.o_orderkey <> b.o_orderkey""")
 def misplaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two orders of the events, line by line: rows that don't stand where the other order has them."""
-    events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type")
-    both = audit.zipped(audit.with_ordinals(events, ["event_id"]), audit.with_ordinals(events, ["ts", "event_id"]))
-    apart = both.where("left.event_id <> right.event_id")
-    return apart.select("ordinal", F.col("left.event_id").alias("recorded"), F.col("right.event_id").alias("happened"), (F.col("left.event_type") == F.col("right.event_type")).alias("same_type"))
+    """Two orders of the same rows, line by line: those that don't stand where their dates would put them."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus")
+    both = audit.zipped(audit.with_ordinals(orders, ["o_orderkey"]), audit.with_ordinals(orders, ["o_orderdate", "o_orderkey"]))
+    apart = both.where("left.o_orderkey <> right.o_orderkey")
+    return apart.select("ordinal", F.col("left.o_orderkey").alias("recorded"), F.col("right.o_orderkey").alias("dated"), (F.col("left.o_orderstatus") == F.col("right.o_orderstatus")).alias("same_status"))
