@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import letter_words, strip_marks
-from tessera.operators import alignment, audit, expansion, fusion, lexical, references, search
+from tessera.operators import alignment, audit, expansion, fusion, lexical, nested, references, search
 from tessera.plans.registry import query, table
 from tessera.plans.text import _TOKENS, _BM25, text_tokens
 from tessera.sources.stored import remembered
@@ -321,3 +321,33 @@ def misplaced_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = audit.zipped(audit.with_ordinals(orders, ["o_orderkey"]), audit.with_ordinals(orders, ["o_orderdate", "o_orderkey"]))
     apart = both.where("left.o_orderkey <> right.o_orderkey")
     return apart.select("ordinal", F.col("left.o_orderkey").alias("recorded"), F.col("right.o_orderkey").alias("dated"), (F.col("left.o_orderstatus") == F.col("right.o_orderstatus")).alias("same_status"))
+
+
+def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as answers of a service: entries with one inflection or a list of them; one in seventeen is broken."""
+    words = F.split("p_type", " ")
+    one = lambda w: F.struct((F.col("p_size") % 5).alias("size"), w.alias("pofs"))
+    entry = lambda infl: F.struct(F.struct(F.col("p_brand").alias("hdwd")).alias("dict"), infl.alias("infl"))
+    answer = lambda infl: F.to_json(F.struct(F.struct(F.array(F.struct(F.struct(entry(infl).alias("entry")).alias("rest"))).alias("Body")).alias("Annotation")))
+    text = F.when(F.col("p_partkey") % 3 == 0, answer(one(words[0]))).otherwise(answer(F.transform(words, one)))
+    broken = F.when(F.col("p_partkey") % 17 == 0, F.lit('{"Annotation": {}, "Annotation": {}}')).otherwise(text)
+    return table(spark, sf_dir, "part").select("p_partkey", nested.parsed(broken).alias("answer"))
+
+
+@query("""WITH w AS (SELECT p_partkey, p_brand, p_size % 5 AS size, string_split(p_type, ' ') AS ws FROM part WHERE p_partkey % 17 <> 0),
+    i AS (SELECT p_partkey, p_brand, size, ws[1] AS pofs, '/Annotation/Body/0/rest/entry/infl' AS pointer FROM w WHERE p_partkey % 3 = 0
+        UNION ALL SELECT p_partkey, p_brand, size, unnest(ws), '/Annotation/Body/0/rest/entry/infl/' || unnest(range(len(ws))) FROM w WHERE p_partkey % 3 <> 0),
+    c AS (SELECT *, 'lemma="' || p_brand || '"' || chr(10) || 'features={"pofs":"' || pofs || '","size":' || size || '}' AS content FROM i)
+    SELECT content, sha256(content) AS sha256, count(*) AS members, count(DISTINCT p_partkey) AS parts, min(pointer) AS first_pointer FROM c GROUP BY content""")
+def equal_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inflections of equal lemma and features, wherever they stand in the answers."""
+    rows = nested.nested_items(analyses(spark, sf_dir), "answer", ["Annotation", "Body", "rest/entry", "infl"], ["p_partkey"])
+    lemma = F.try_variant_get("value_2", "$.dict.hdwd", "variant")
+    return nested.equal_content(rows, {"lemma": lemma, "features": F.col("value_3")}, F.countDistinct("p_partkey").alias("parts"), F.min("pointer_3").alias("first_pointer"))
+
+
+@query("SELECT event_id, (props::JSON->>'k')::BIGINT AS k, sha256('{\"k\":' || (props::JSON->>'k') || '}') AS sha256 FROM events")
+def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with a property and the hash of all of them in canonical form."""
+    rows = table(spark, sf_dir, "events").select("event_id", nested.parsed(F.col("props")).alias("v"))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.sha2(nested.canonical(F.col("v")), 256).alias("sha256"))
