@@ -13,7 +13,7 @@ neighbours vote with their similarity.
 Weights, projection and vectors are whole numbers in double precision, small
 enough for every sum of products to be exact.  So a text's score doesn't depend
 on the block it is scored in, and equally similar neighbours are truly equal:
-the order of their identifiers decides between them.
+all that are as near as the last one vote.
 """
 
 from __future__ import annotations
@@ -92,10 +92,8 @@ def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 64) -> dict[st
 
 
 def nearest(similar: np.ndarray, k: int) -> np.ndarray:
-    """Whether each column is among the k largest of its row; of equal ones, those further left."""
-    least = np.partition(similar, similar.shape[1] - k, axis=1)[:, similar.shape[1] - k :][:, :1]
-    above, level = similar > least, similar == least
-    return above | (level & (np.cumsum(level, axis=1) <= k - above.sum(axis=1, keepdims=True)))
+    """Whether each column is among the k largest of its row, or equal to the k-th."""
+    return similar >= np.partition(similar, similar.shape[1] - k, axis=1)[:, similar.shape[1] - k :][:, :1]
 
 
 def vote(counts: np.ndarray, model: dict[str, np.ndarray], neighbours: int = 25, power: float = 8.0) -> np.ndarray:

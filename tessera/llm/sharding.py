@@ -49,7 +49,8 @@ def walk(
     ``loads``: cell, place on the ring, bytes and rows of each cell.  A cell
     first goes to the owner clockwise from it; when that shard is full, the rest
     of the cell continues to the next shard clockwise that has room.  Cells of
-    large rows (negative numbers) come first and are only cut between rows.
+    large rows (negative numbers) come first, the largest rows before the
+    others, and are only cut between rows: what comes late finds only small gaps.
     """
     points = ring_points(shards, virtual_nodes, cells)
     at = [p for p, _ in points]
@@ -63,7 +64,7 @@ def walk(
         return max(range(shards), key=lambda s: room[s])
 
     plan = []
-    for cell, place, load, rows in sorted(loads, key=lambda x: (x[0] >= 0, x[1], x[0])):
+    for cell, place, load, rows in sorted(loads, key=lambda x: (x[0] >= 0, -(x[2] // x[3]) if x[0] < 0 else 0, x[1], x[0])):
         offset, each = 0, load // rows if cell < 0 else 1
         while offset < load:
             shard = owner(place, each)
