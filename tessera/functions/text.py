@@ -72,9 +72,11 @@ def readable(text: Column) -> Column:
     partner takes the rest of its line (a closing one, the start), and so do
     pairs that lie deeper than DEPTH.
     """
+    shown = text
     for _ in range(DEPTH):
-        text = F.regexp_replace(text, INNERMOST, "…")
-    return F.regexp_replace(F.regexp_replace(text, LONE_CLOSING, "…"), LONE_OPENING, "…")
+        shown = F.regexp_replace(shown, INNERMOST, "…")
+    shown = F.regexp_replace(F.regexp_replace(shown, LONE_CLOSING, "…"), LONE_OPENING, "…")
+    return F.when(text.rlike(f"[{_BRACKET}]"), shown).otherwise(text)  # most texts have none
 
 
 def collapse(text: Column) -> Column:

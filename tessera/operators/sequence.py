@@ -37,14 +37,16 @@ class TooMuchWork(ValueError):
 
 
 def positional_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[Column], Column] = F.lower) -> DataFrame:
-    """(term, id, segment, place, form), one row for each readable word, in ranges of terms.
+    """(term, id, segment, place, form), one row for each readable word.
 
+    Rows are dealt by term and text, so a very frequent word is spread over all
+    files, and each file is in order of terms, so a search reads few pages of it.
     Null and empty texts have no rows; a null identifier is kept.
     """
     pieces = docs.select(F.col(id_col).alias("id"), F.posexplode(F.split(readable(F.col(text_col)), BARRIER, -1)).alias("segment", "_piece"))
     words = pieces.select("id", "segment", F.posexplode(letter_words(F.col("_piece"))).alias("place", "form"))
     rows = words.select(key(F.col("form")).alias("term"), "id", "segment", "place", "form")
-    return rows.repartitionByRange("term", "id").sortWithinPartitions("term", "id", "segment", "place")
+    return rows.repartition("term", "id").sortWithinPartitions("term", "id", "segment", "place")
 
 
 def _classes(groups: Sequence[set[str]]) -> tuple[list[frozenset[str]], list[int]]:
