@@ -280,9 +280,15 @@ def difflib_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def shingle_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near-identical texts of at least 80 characters: shingles, lengths and then matching blocks, which SQL doesn't have."""
-    texts = table(spark, sf_dir, "documents").where("length(text) >= 80").select("text").distinct()
-    return similar.near_duplicate_texts(texts.select(F.md5("text").alias("id"), "text"))
+    """Near-identical texts of at least 80 characters, each known by the smallest document that has it: shingles, lengths and then matching blocks, which SQL doesn't have."""
+    texts = table(spark, sf_dir, "documents").where("length(text) >= 80")
+    return similar.near_duplicate_texts(texts.groupBy("text").agg(F.min("doc_id").alias("id")).select("id", "text"))
+
+
+@query("SELECT doc_id AS id, min(doc_id) OVER w AS class_id, count(*) OVER w AS copies FROM documents WINDOW w AS (PARTITION BY text)")
+def text_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest document of the same text: what the pairs of near-identical texts stand for."""
+    return similar.text_classes(table(spark, sf_dir, "documents"))
 
 
 @query("SELECT doc_id, CAST(('0x' || substr(sha1(doc_id::VARCHAR), 33, 8))::BIGINT AS BIGINT) AS low, CASE WHEN b < 10 THEN 'dev' ELSE 'train' END AS split, b AS bucket FROM (SELECT doc_id, list_reduce(list_prepend(0::BIGINT, [('0x' || c)::BIGINT FOR c IN string_split(sha1(doc_id::VARCHAR), '')]), lambda a, d: (a * 16 + d) % 100) AS b FROM documents)")
