@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import shingles, trigrams
+from tessera.sources.stored import materialized
 
 
 def near_keys(vocabulary: DataFrame, words: DataFrame, rarest: int = 5, most: int = 80) -> DataFrame:
@@ -126,6 +127,7 @@ def shingle_pairs(texts: DataFrame, similarity: float = 0.25, length_ratio: floa
         hashed = texts.select("id", F.length("text").alias("length"), F.array_distinct(F.element_at(F.transform(F.array(split), runs), 1)).alias("grams"))
     else:
         hashed = texts.select("id", F.length("text").alias("length"), F.transform(shingles(F.col("text"), width), lambda s: F.xxhash64(s)).alias("grams"))
+    hashed = materialized(hashed, "shingles")  # read four times
     counts = hashed.select(F.explode("grams").alias("gram")).groupBy(F.pmod("gram", F.lit(buckets)).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     own = hashed.select("id", "length", F.size("grams").alias("size"), F.explode("grams").alias("gram")).withColumn("bucket", F.pmod("gram", F.lit(buckets)))
     placed = own.join(F.broadcast(counts), "bucket").withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy("n", "gram")))
@@ -225,5 +227,8 @@ def near_duplicate_texts(texts: DataFrame, ratio: float = 0.85, length_ratio: fl
 
     pairs = shingle_pairs(texts, similarity, length_ratio, width, words=True)
     one, two = texts.select(F.col("id").alias("a"), F.col("text").alias("_a")), texts.select(F.col("id").alias("b"), F.col("text").alias("_b"))
-    scored = pairs.join(one, "a").join(two, "b").select("a", "b", "jaccard", blocks("_a", "_b").alias("ratio"))
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt anew: pairs are few and small, and would be put together into few tasks, though each takes long
+    both = pairs.join(one, "a").join(two, "b").repartition(parts)
+    scored = both.select("a", "b", "jaccard", blocks("_a", "_b").alias("ratio"))
     return scored.where(F.col("ratio") >= ratio).withColumn("ratio", F.round("ratio", 6))
