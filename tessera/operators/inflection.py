@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.similar import near_keys
+from tessera.sources.stored import materialized
 
 
 def matched_keys(asked: DataFrame, known: DataFrame) -> DataFrame:
@@ -61,7 +62,8 @@ def analyses(asked: DataFrame, forms: DataFrame, entries: DataFrame, support: Da
     marker and analysis (or entry) are one candidate, with its sources and
     matched forms counted.  Words that nothing matches have no rows.
     """
-    matches = matched_keys(asked.select("query_id", "key", "variant"), forms.select("key").unionByName(entries.select("key")))
+    # read three times, and dear: near spellings are among them
+    matches = materialized(matched_keys(asked.select("query_id", "key", "variant"), forms.select("key").unionByName(entries.select("key"))), "matches")
     same = Window.partitionBy("query_id", "lemma", "analysis")
     by_form = matches.join(forms, "key").withColumns({"_low": F.min("marker").over(same), "_high": F.max("marker").over(same)})
     one = F.when(F.col("_low") == F.col("_high"), F.col("_low"))

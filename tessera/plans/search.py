@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import letter_words, strip_marks
-from tessera.operators import alignment, audit, expansion, fusion, lexical, nested, references, search
+from tessera.operators import alignment, audit, expansion, fusion, inflection, lexical, nested, references, search
 from tessera.plans.registry import query, table
-from tessera.plans.text import _TOKENS, _BM25, text_tokens
-from tessera.sources.stored import remembered
+from tessera.plans.text import _TOKENS, _BM25, _spelling, text_tokens
+from tessera.sources.stored import materialized, remembered
 
 _ROLE = {"user": ("text", "grc", "a", 5), "assistant": ("translation", "eng", "m", 2)}
 AUTHORS = ("a1", "a2")
@@ -351,3 +351,67 @@ def canonical_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events with a property and the hash of all of them in canonical form."""
     rows = table(spark, sf_dir, "events").select("event_id", nested.parsed(F.col("props")).alias("v"))
     return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.sha2(nested.canonical(F.col("v")), 256).alias("sha256"))
+
+
+_PLAIN = "replace(strip_accents(lower({0})), 'ß', 'ss')"
+_ENDING = "regexp_replace(key, '{0}', '') AS lemma, regexp_extract(key, '{0}', 1) AS analysis, '{1}' AS source"
+
+
+@query(f"""WITH {_TOKENS}, askw AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\\p{{L}}+')) AS word FROM benchmark),
+    spelt AS (SELECT word, {_PLAIN.format("word")} AS key FROM askw), asked AS (SELECT word, key, 0 AS variant FROM spelt UNION ALL SELECT word, replace(key, 'th', 't'), 1 FROM spelt WHERE contains(key, 'th')),
+    base AS (SELECT id, form, {_PLAIN.format("normalized")} AS key FROM tok),
+    ended AS (SELECT * FROM (SELECT id, form, key, {_ENDING.format(_SUFFIX, "suffix")} FROM base UNION ALL SELECT id, form, key, {_ENDING.format(_PREFIX, "prefix")} FROM base) WHERE key <> lemma AND length(lemma) >= 2),
+    forms AS (SELECT DISTINCT form, key, lemma, analysis, source FROM ended),
+    entries AS (SELECT role || ':' || w AS entry_id, w AS lemma, {_PLAIN.format("w")} AS key, role AS source, min(conv_id)::VARCHAR AS gloss FROM (SELECT conv_id, role, unnest(regexp_extract_all(text, '\\p{{L}}+')) AS w FROM conversations) GROUP BY role, w),
+    known AS (SELECT key FROM forms UNION SELECT key FROM entries),
+    direct AS (SELECT word, key, 0 AS distance, min(variant) AS variant FROM asked WHERE key IN (SELECT key FROM known) GROUP BY word, key),
+    rest AS (SELECT * FROM asked WHERE word NOT IN (SELECT word FROM direct)), ask AS (SELECT DISTINCT key AS word FROM rest), voc AS (SELECT key AS normalized FROM known),
+    vg AS (SELECT DISTINCT normalized, gram FROM (SELECT normalized, substr('^' || normalized || '$', unnest(range(1, length(normalized) + 1)), 3) AS gram FROM voc)),
+    ag AS (SELECT DISTINCT word, gram FROM (SELECT word, substr('^' || word || '$', unnest(range(1, length(word) + 1)), 3) AS gram FROM ask WHERE length(word) >= 5)),
+    sizes AS (SELECT gram, count(*) AS postings FROM vg GROUP BY 1),
+    rare AS (SELECT word, gram FROM (SELECT word, gram, row_number() OVER (PARTITION BY word ORDER BY postings, gram) AS k FROM ag JOIN sizes USING (gram)) WHERE k <= 5),
+    pool AS (SELECT DISTINCT word, normalized FROM rare JOIN vg USING (gram) UNION SELECT word, normalized FROM ask JOIN voc ON word[1] = normalized[1] AND abs(length(word) - length(normalized)) <= CASE WHEN length(word) < 6 THEN 1 ELSE 2 END WHERE length(word) < 5 OR (length(word) <= 6 AND length(normalized) < 5)),
+    near AS (SELECT word, normalized, distance FROM (SELECT *, row_number() OVER (PARTITION BY word ORDER BY distance, normalized) AS k FROM (SELECT *, levenshtein(word, normalized) AS distance FROM pool) WHERE distance <= CASE WHEN length(word) < 6 THEN 1 ELSE 2 END) WHERE k <= 80),
+    met AS (SELECT rest.word, normalized AS key, distance, variant, row_number() OVER (PARTITION BY rest.word, normalized ORDER BY distance, variant) AS k FROM rest JOIN near ON rest.key = near.word),
+    matches AS (SELECT * FROM direct UNION ALL SELECT word, key, distance, variant FROM met WHERE k = 1),
+    hits AS (SELECT f.lemma, e.lemma = f.lemma AS exact, entry_id, e.source, e.gloss FROM (SELECT DISTINCT lemma FROM forms) f JOIN entries e ON e.key = f.lemma),
+    per AS (SELECT lemma, exact, source, count(*) AS n FROM hits GROUP BY ALL), most AS (SELECT lemma, exact, max(n) AS n FROM per GROUP BY ALL),
+    side AS (SELECT h.*, row_number() OVER (PARTITION BY lemma ORDER BY exact DESC, source, entry_id) AS k FROM hits h),
+    told AS (SELECT s.lemma, CASE WHEN m.n = 1 THEN gloss END AS gloss FROM side s JOIN most m ON m.lemma = s.lemma AND m.exact = s.exact WHERE k = 1),
+    place AS (SELECT word, min(id) AS passage FROM spelt JOIN base USING (key) GROUP BY word),
+    noted AS (SELECT key, lemma, analysis, id, d.source AS author FROM ended JOIN labels ON id = labels.doc_id AND quality = 1 JOIN documents d ON d.doc_id = id),
+    support AS (SELECT s.word, n.lemma, n.analysis, bool_or(n.id = passage) AS in_passage, coalesce(bool_or(n.author = d.source), false) AS same_author FROM spelt s JOIN place USING (word) JOIN documents d ON d.doc_id = passage JOIN noted n USING (key) GROUP BY ALL),
+    cand AS (SELECT m.*, 'form' AS kind, f.lemma, f.analysis, NULL AS entry_id, f.form, t.gloss, f.source, coalesce(in_passage, false) AS p, coalesce(same_author, false) AS a FROM matches m JOIN forms f USING (key) LEFT JOIN told t ON t.lemma = f.lemma LEFT JOIN support u ON u.word = m.word AND u.lemma = f.lemma AND u.analysis = f.analysis
+        UNION ALL SELECT m.*, 'lemma', e.lemma, NULL, e.entry_id, e.lemma, e.gloss, e.source, false, false FROM matches m JOIN entries e USING (key)),
+    firsts AS (SELECT *, row_number() OVER (PARTITION BY word, kind, lemma, analysis, entry_id ORDER BY distance, form <> word, variant, source, form) AS k FROM cand),
+    counts AS (SELECT word, kind, lemma, coalesce(analysis, '') AS ana, coalesce(entry_id, '') AS ent, count(DISTINCT source) AS n_sources, count(DISTINCT form) AS n_forms FROM cand GROUP BY ALL),
+    ranked AS (SELECT f.*, n_sources, n_forms, row_number() OVER (PARTITION BY f.word ORDER BY distance, p DESC, a DESC, form <> f.word, variant, f.kind, f.lemma, analysis, source, entry_id, form) AS rank
+        FROM firsts f JOIN counts c ON c.word = f.word AND c.kind = f.kind AND c.lemma = f.lemma AND ana = coalesce(analysis, '') AND ent = coalesce(entry_id, '') WHERE k = 1)
+    SELECT word AS query_id, rank, kind, lemma, NULL::VARCHAR AS marker, analysis, entry_id, form AS matched_form, distance::BIGINT AS distance, gloss, n_sources, n_forms,
+        CASE WHEN distance > 0 THEN 'near spelling, distance ' || distance WHEN variant > 0 THEN 'another spelling of the word' WHEN form = word THEN 'the very ' || CASE kind WHEN 'form' THEN 'form' ELSE 'headword' END ELSE CASE kind WHEN 'form' THEN 'form' ELSE 'headword' END || ' of the same letters' END
+            || CASE WHEN p THEN '; annotated in the passage' WHEN a THEN '; annotated in the author''s texts' ELSE '' END AS reason FROM ranked WHERE rank <= 12""")
+def word_analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark analysed: forms by their endings in the documents, headwords from the turns; labelled good documents are the annotated ones."""
+    tokens, docs = text_tokens(spark, sf_dir), table(spark, sf_dir, "documents")
+    spelt = table(spark, sf_dir, "benchmark").select(F.explode(letter_words(F.col("text"))).alias("word")).distinct().withColumn("key", _spelling(F.lower("word")))
+    asked = spelt.withColumn("variant", F.lit(0)).unionByName(spelt.where(F.contains("key", F.lit("th"))).withColumns({"key": F.replace("key", F.lit("th"), F.lit("t")), "variant": F.lit(1)}))
+    asked = asked.withColumn("query_id", F.col("word"))
+
+    def ended(rows: DataFrame, pattern: str, source: str) -> DataFrame:
+        found = rows.withColumns({"lemma": F.regexp_replace("key", pattern, ""), "analysis": F.regexp_extract("key", pattern, 1), "source": F.lit(source)})
+        return found.where("key <> lemma and length(lemma) >= 2").withColumn("lemma_key", F.col("lemma"))
+
+    # keys are made once for each form, not for each text that has it
+    spelled = materialized(tokens.select("form", "normalized").distinct().select("form", _spelling(F.col("normalized")).alias("key")), "spelled")
+    forms = materialized(ended(spelled, _SUFFIX, "suffix").unionByName(ended(spelled, _PREFIX, "prefix")).withColumn("marker", F.lit(None).cast("string")), "forms")
+    placed = tokens.select("id", "form")
+    words = table(spark, sf_dir, "conversations").select("conv_id", "role", F.explode(letter_words(F.col("text"))).alias("lemma"))
+    heads = words.groupBy("role", "lemma").agg(F.min("conv_id").cast("string").alias("gloss"))
+    entries = heads.select(F.concat_ws(":", "role", "lemma").alias("entry_id"), "lemma", _spelling(F.lower("lemma")).alias("key"), F.col("role").alias("source"), "gloss")
+    entries = materialized(entries, "entries")
+    first = spelt.join(spelled, "key").join(placed, "form").groupBy(F.col("word").alias("query_id")).agg(F.min("id").alias("passage_id"))
+    contexts = first.join(docs.select(F.col("doc_id").alias("passage_id"), F.col("source").alias("author_id")), "passage_id").select("query_id", "passage_id", "author_id")
+    good = table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")).distinct()
+    annotated = forms.join(spelt.select("key").distinct(), "key", "left_semi").join(placed, "form").join(good, "id", "left_semi").join(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("author_id")), "id")
+    occurrences = annotated.select("key", "lemma_key", "analysis", F.col("id").alias("passage_id"), "author_id")
+    return inflection.analyses(asked, forms, entries, inflection.supports(asked, contexts, occurrences))
