@@ -170,8 +170,12 @@ def phrase_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, form, normalized, count) of all documents: stored once for each version of the table, in ranges of terms."""
-    build = lambda docs: lexical.token_table(docs).repartitionByRange("normalized", "id").sortWithinPartitions("normalized", "id")
+    """(id, form, normalized, count) of all documents: stored once for each version of the table.
+
+    Rows stay where they were counted, dealt by text and form, so one shuffle makes
+    the table; each file is in order of terms, so a search reads few pages of it.
+    """
+    build = lambda docs: lexical.token_table(docs).sortWithinPartitions("normalized", "id")
     return remembered(table(spark, sf_dir, "documents"), "tokens", build)
 
 
