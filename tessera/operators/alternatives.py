@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.sources.stored import materialized
+
 _LETTER = "[\\p{L}\\p{N}_]"
 #: Abbreviations and names of grammatical features.
 GRAMMAR = {
@@ -114,6 +116,7 @@ def qualified_claims(claims: DataFrame, labels: Mapping[str, tuple[str, str]] =
     quotes = rows.groupBy("_key").agg(F.any_value("_e.quote").alias("_quote"))
     stated = quotes.select("_key", F.explode(alternatives(F.col("_quote"), labels, joiner, fillers)).alias("_a"))
     met = rows.select("claim_id", "_key", "_at", "features", "accepted").join(stated, "_key").where("_a.start <= _at.start and _at.end <= _a.end").select("*", F.col("_a.start").alias("_from"))
+    met = materialized(met, "met")
     entries = F.array_sort(F.map_entries("features"))
     shown = met.where("accepted").select("_key", "_at", entries.alias("_has")).distinct()
     wanted = met.select("_key", "_from", "_a.branches").groupBy("_key", "_from").agg(F.any_value("branches").alias("branches"))

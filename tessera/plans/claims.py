@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators.alternatives import alternatives, qualified_claims
 from tessera.plans.registry import query, table
+from tessera.sources.stored import materialized
 
 #: Small words of the documents by what they say.
 LABELS = {
@@ -51,7 +52,8 @@ def stated_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM q JOIN w USING (doc_id, grp) LEFT JOIN x ON x.doc_id = q.doc_id AND x.grp = q.grp AND x.branch = q.branch WHERE placed AND features <> ''""")
 def claims_on_alternatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A claim for each branch of what is stated; in every third document the last one is not accepted."""
-    rows = _stated(spark, sf_dir).select("doc_id", "a", F.posexplode("a.branches").alias("branch", "b"))
+    # texts are read once, not by every side of the joins
+    rows = materialized(_stated(spark, sf_dir), "alternatives").select("doc_id", "a", F.posexplode("a.branches").alias("branch", "b"))
     claims = rows.select(
         F.concat_ws(":", "doc_id", "a.start", "branch").alias("claim_id"), F.col("doc_id").alias("subject"), (~((F.col("doc_id") % 3 == 0) & (F.col("b.end") == F.col("a.end")))).alias("accepted"), "b.label", "b.features",
         (F.col("b.start") - F.col("a.start")).alias("start"), (F.col("b.end") - F.col("a.start")).alias("end"), F.array(F.struct(F.col("a.start").alias("place"), F.col("a.text").alias("quote"))).alias("evidence"),
