@@ -44,6 +44,7 @@ BLOCK = 48
 #: Candidates of a query that are looked up at once.
 LOOKED_UP = 256
 ROUNDS = 3
+LISTS = "part int, keys binary, sizes binary, counts binary, hashes binary"
 OPEN = "key long, n int, shingles binary, " + ", ".join(f"m{r} long" for r in range(ROUNDS))
 
 
@@ -79,24 +80,28 @@ def _rows(names: list[str], rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
+def posted(sets: dict[int, np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Sets by key to (part, keys, sizes, counts, hashes): what each part gets of them."""
+    if not sets:
+        return
+    keys, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.uint32)
+    hashes = np.concatenate(list(sets.values()))
+    owner, group = np.repeat(np.arange(len(keys)), sizes), _groups(hashes, parts)
+    order = np.argsort(group, kind="stable")
+    hashes, owner, group = hashes[order], owner[order], group[order]
+    rows = []
+    for g in np.unique(group).tolist():
+        lo, hi = np.searchsorted(group, [g, g + 1])
+        own, count = np.unique(owner[lo:hi], return_counts=True)
+        rows.append((g, keys[own].tobytes(), sizes[own].tobytes(), count.astype(np.uint32).tobytes(), hashes[lo:hi].tobytes()))
+    yield _rows(["part", "keys", "sizes", "counts", "hashes"], rows)
+
+
 def _postings(batches: Iterator[pa.RecordBatch], parts: int, width: int) -> Iterator[pa.RecordBatch]:
-    """Texts to (part, keys, sizes, counts, hashes): for each chunk, the shingles of its classes in each part."""
+    """Texts to the shingles of each chunk's classes, by part."""
     for batch in batches:
         for part in chunks(batch):
-            sets = {set_key(s): s for s in shingle_sets(words_of(part.column(1)), width) if len(s)}
-            if not sets:
-                continue
-            keys, sizes = np.array(list(sets), np.int64), np.array([len(s) for s in sets.values()], np.uint32)
-            hashes = np.concatenate(list(sets.values()))
-            owner, group = np.repeat(np.arange(len(keys)), sizes), _groups(hashes, parts)
-            order = np.argsort(group, kind="stable")
-            hashes, owner, group = hashes[order], owner[order], group[order]
-            rows = []
-            for g in np.unique(group).tolist():
-                lo, hi = np.searchsorted(group, [g, g + 1])
-                own, count = np.unique(owner[lo:hi], return_counts=True)
-                rows.append((g, keys[own].tobytes(), sizes[own].tobytes(), count.astype(np.uint32).tobytes(), hashes[lo:hi].tobytes()))
-            yield _rows(["part", "keys", "sizes", "counts", "hashes"], rows)
+            yield from posted({set_key(s): s for s in shingle_sets(words_of(part.column(1)), width) if len(s)}, parts)
 
 
 def _whole(batches: Iterator[pa.RecordBatch], kinds: list) -> list[np.ndarray]:
@@ -280,25 +285,12 @@ def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array([ra[k] for k in keep], pa.int64()), pa.array([rb[k] for k in keep], pa.int64())], ["a", "b"])
 
 
-def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
-
-    Null, empty and blank texts have no shingles, link with nothing and are their
-    own component.  Fewer words than ``width`` are one shingle.  Null identifiers
-    take part but never name a component unless nothing else is in it (then the
-    component is null).  Repeated rows are one class and get a row each; other
-    columns are ignored; an empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sets = cut(rows.mapInArrow(partial(_sets, width=width), "doc_id long, n_shingles long, _key long"))
-    lists = "part int, keys binary, sizes binary, counts binary, hashes binary"
-    texts = rows.select(F.lit(0).alias("_"), "text")
+def linked_sets(lists: DataFrame, percent: int) -> DataFrame:
+    """``posted`` sets, dealt to as many parts as there are shuffle partitions, to (node, top) of all that link with another: the smallest key of its component."""
+    parts = shuffle_partitions(lists.sparkSession)
     opened = stored(
-        texts.mapInArrow(partial(_postings, parts=parts, width=width), lists)
-        .repartitionById(parts, F.col("part"))
-        .mapInArrow(partial(_shared, parts=parts), lists + ", frequencies binary")
+        lists.repartitionById(parts, F.col("part"))
+        .mapInArrow(partial(_shared, parts=parts), LISTS + ", frequencies binary")
         .repartitionById(parts, F.col("part"))
         .mapInArrow(partial(_open, percent=percent), OPEN)
     )
@@ -330,7 +322,24 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     merged = components(late).toDF("_root", "_top")
     # two joins that can be split at a hot root, in place of a full one that can't
     known = labels.join(merged, F.col("root") == F.col("_root"), "left").select("node", F.coalesce("_top", "root").alias("top"))
-    tops = cut(known.union(merged.join(labels, F.col("_root") == F.col("node"), "left_anti")))
+    return known.union(merged.join(labels, F.col("_root") == F.col("node"), "left_anti").toDF("node", "top"))
+
+
+def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Null, empty and blank texts have no shingles, link with nothing and are their
+    own component.  Fewer words than ``width`` are one shingle.  Null identifiers
+    take part but never name a component unless nothing else is in it (then the
+    component is null).  Repeated rows are one class and get a row each; other
+    columns are ignored; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    parts = shuffle_partitions(spark)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = cut(rows.mapInArrow(partial(_sets, width=width), "doc_id long, n_shingles long, _key long"))
+    texts = rows.select(F.lit(0).alias("_"), "text")
+    tops = cut(linked_sets(texts.mapInArrow(partial(_postings, parts=parts, width=width), LISTS), percent))
 
     owned = cut(sets.join(tops, F.col("_key") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("top", "_key").alias("_top")))
     names = cut(owned.where("_top is not null").groupBy("_top").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("_top", "_name"))
