@@ -36,6 +36,10 @@ _UPPER[65:91] = _DIGIT[48:58] = 1
 _SYMBOL[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 1
 #: Steps of 1 in which weights, projection and vectors are counted.
 GRAIN = 1 << 12
+#: Labelled rows that are weighed at once.
+FITTED = 256
+#: Parts of a model, doubles all, with their shapes.
+MODEL = {"idf": (-1,), "projection": (FEATURES + SHAPES, -1), "vectors": (-1,), "labels": (-1,)}
 
 
 def text_features(texts: pa.Array, features: int = FEATURES) -> np.ndarray:
@@ -83,12 +87,22 @@ def latent(x: np.ndarray, projection: np.ndarray) -> np.ndarray:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray, dimensions: int = 64) -> dict[str, np.ndarray]:
-    """Rarity weights, projection and labelled vectors."""
-    idf = np.log((1 + len(counts)) / (1 + (counts[:, :-SHAPES] > 0).sum(axis=0))) + 1
-    x = weighted(counts, idf)
-    values, vectors = np.linalg.eigh(x.T @ x) if len(x) else (np.zeros(1), np.zeros((counts.shape[1], 1)))
+    """Rarity weights, projection and labelled vectors.
+
+    Rows are weighed in blocks: their sums of products are exact, whatever the
+    blocks, and the driver never holds all weighted rows.
+    """
+    blocks = [slice(lo, lo + FITTED) for lo in range(0, len(counts), FITTED)]
+    seen = sum(((counts[b, :-SHAPES] > 0).sum(axis=0) for b in blocks), np.zeros(counts.shape[1] - SHAPES, np.int64))
+    idf = np.log((1 + len(counts)) / (1 + seen)) + 1
+    products = np.zeros((counts.shape[1], counts.shape[1]))
+    for b in blocks:
+        x = weighted(counts[b], idf)
+        products += x.T @ x
+    values, vectors = np.linalg.eigh(products) if blocks else (np.zeros(1), np.zeros((counts.shape[1], 1)))
     projection = np.ascontiguousarray(np.rint(vectors[:, ::-1][:, :dimensions] * GRAIN))
-    return {"idf": idf, "projection": projection, "vectors": latent(x, projection), "labels": labels.astype(np.float64)}
+    told = [latent(weighted(counts[b], idf), projection) for b in blocks]
+    return {"idf": idf, "projection": projection, "vectors": np.concatenate([np.zeros((0, projection.shape[1])), *told]), "labels": labels.astype(np.float64)}
 
 
 def nearest(similar: np.ndarray, k: int) -> np.ndarray:
@@ -131,11 +145,22 @@ def labelled_model(docs: DataFrame, labels: DataFrame, learn: Column, max_labell
                 x = [f.astype(np.float16).tobytes() for f in text_features(part.column(0))]
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(x, pa.binary()), part.column(2)], ["id", "x", "y"])
 
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("x", pa.binary()), ("y", pa.float64())]))
+        if whole.num_rows:
+            counts = np.frombuffer(b"".join(whole.column("x").to_pylist()), np.float16).reshape(whole.num_rows, FEATURES + SHAPES)
+            model = fit(counts, whole.column("y").to_numpy(), dimensions)
+            yield pa.RecordBatch.from_arrays([pa.array([model[k].tobytes()], pa.binary()) for k in MODEL], list(MODEL))
+
     # rows that repeat an identifier give one row, whatever their number: that of the smallest features
     found = texts.select("text", F.col("_labelled").cast("string"), "_quality").mapInArrow(features, "id string, x binary, y double")
-    rows = found.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").collect()  # at most max_labelled
-    counts = np.array([np.frombuffer(r["x"], np.float16) for r in rows], np.float32).reshape(len(rows), FEATURES + SHAPES)
-    return fit(counts, np.array([r["y"] for r in rows]), dimensions)
+    rows = found.groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y"))
+    # at most max_labelled rows, fitted on an executor: the driver's memory holds the model alone
+    told = rows.repartition(1).sortWithinPartitions("id").mapInArrow(fitted, ", ".join(f"{k} binary" for k in MODEL)).collect()
+    if not told:
+        return fit(np.zeros((0, FEATURES + SHAPES), np.float16), np.zeros(0), dimensions)
+    model = {k: np.frombuffer(told[0][k]).reshape(shape) for k, shape in MODEL.items()}
+    return model | {"vectors": model["vectors"].reshape(len(model["labels"]), -1)}
 
 
 def score_quality(
