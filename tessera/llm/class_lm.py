@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shuffle_partitions, stored
+from tessera.llm.common import delete_stored, lean, shuffle_partitions, stored
 from tessera.llm.tokens import chunks, suffix_buckets, words_of
 
 RARE = 255
@@ -385,6 +385,7 @@ def _matrix(pairs: DataFrame, width: int) -> np.ndarray:
     return out.reshape(width, width)
 
 
+@lean
 def class_lm_scores(
     docs: DataFrame, train: Column, frequent: int = 768, rare: int = RARE, classes: int = 64, least: int = 1, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -428,10 +429,14 @@ def class_lm_scores(
     both = told.drop("words").unionByName(answers.drop("words"), allowMissingColumns=True).select("chunk", "part", "counts", "classes", "endings", "line", "sizes", "ids", "flags", "keys")
     classed = stored(both.repartition(parts, "chunk").sortWithinPartitions("chunk", F.col("part").asc_nulls_last()).mapInArrow(partial(_classed, endings=own[len(best) : len(best) + rare]), CLASSED))
 
+    delete_stored(told)
+    delete_stored(counted)
+
     table = _matrix(classed.select("classes", "sizes", "flags").mapInArrow(partial(_class_bigrams, width=width), "pair long, n long"), width)
     mass = np.zeros(width)
     for n, v in placed.where("n_class is not null").select("n_class", "v_class").toLocalIterator():
         mass += np.frombuffer(n, np.int64) + np.frombuffer(v, np.int64)
+    delete_stored(placed)
     emission = np.log10(mass + 1)
     emission[classes] = 0  # the end is the only word of its class
     transition = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * width))
