@@ -36,13 +36,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import delete_stored, lean, shuffle_partitions, stored
+from tessera.llm.common import BATCH, configured, delete_stored, lean, shuffle_partitions, stored
 from tessera.llm.tokens import chunks, suffix_buckets, words_of
 
 RARE = 255
 SMOOTH = 0.1
 #: Contexts of words that are weighed against all classes at once.
-SLICE = 1 << 14
+SLICE = 1 << 12
+#: Rows of a chunk, up to some MB each, that go to a Python worker at once: all of a task's would be held twice by Spark and once by the worker.
+AT_ONCE = 8
 CHUNKS = "chunk long, words binary, endings binary, line binary, sizes binary, ids binary, flags binary, keys binary"
 COUNTED = "kind string, hash long, count long, bucket int, n long"
 COUNTS = "part int, words binary, counts binary, endings binary"
@@ -112,15 +114,18 @@ def _occurrences(batches: Iterator[pa.RecordBatch], parts: int) -> Iterator[pa.R
             yield _record(COUNTS, found)
 
 
-def _summed(pieces: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 22) -> tuple[np.ndarray, ...]:
-    """(keys, ..., amounts) pieces to distinct keys with sums; no more than the distinct ones and a few pieces are held."""
+def _summed(pieces: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 18) -> tuple[np.ndarray, ...]:
+    """(keys, ..., amounts) pieces to distinct keys with sums; no more than twice the distinct ones, or ``most`` and a piece, are held."""
     held, size = [], 0
 
     def fold() -> list[tuple[np.ndarray, ...]]:
         columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+        held.clear()
         order = np.lexsort(columns[-2::-1])
-        columns = [c[order] for c in columns]
-        fresh = np.zeros(len(order), bool)
+        for k, c in enumerate(columns):
+            columns[k] = c[order]
+        del order, c
+        fresh = np.zeros(len(columns[0]), bool)
         fresh[:1] = True
         for c in columns[:-1]:
             fresh[1:] |= c[1:] != c[:-1]
@@ -131,7 +136,7 @@ def _summed(pieces: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 22) -> tu
         held.append(piece)
         size += len(piece[0])
         if size > most:
-            held = fold()
+            held += fold()
             size = len(held[0][0])
             most = max(most, 2 * size)
     return fold()[0] if held else ()
@@ -293,17 +298,19 @@ def _place_words(batches: Iterator[pa.RecordBatch], top, table: np.ndarray, leas
     if not summed:
         return
     word, code, amount = summed
-    words, first, owner = np.unique(word, return_index=True, return_inverse=True)
-    classes, cell = (code[first] >> 16).astype(np.int64), (code & 0xFFFF).astype(np.int64)
+    first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    words, owner = word[first], np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.r_[first, len(word)]))
+    classes, cell = (code[first] >> 16).astype(np.int64), (code & 0xFFFF).astype(np.uint16)
     count = np.bincount(owner, weights=amount * (cell < len(table))).astype(np.int64)
+    del word, code, summed
     fixed = np.isin(words, top.value[0]) | (count < least)
     free, inside = np.flatnonzero(~fixed), ~fixed[owner]
-    owner, cell, amount = np.searchsorted(free, owner[inside]), cell[inside], amount[inside].astype(np.float64)
-    bounds, lo = np.searchsorted(owner, np.arange(len(free) + 1)), 0
+    owner, cell, amount = (np.cumsum(~fixed, dtype=np.int32) - 1)[owner[inside]], cell[inside], amount[inside]
+    bounds, lo = np.searchsorted(owner, np.arange(len(free) + 1, dtype=np.int32)), 0
     while lo < len(free):
         hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + SLICE, side="right")) - 1)
         at = slice(bounds[lo], bounds[hi])
-        classes[free[lo:hi]] = best_classes(classes[free[lo:hi]], owner[at] - lo, cell[at], amount[at], table)
+        classes[free[lo:hi]] = best_classes(classes[free[lo:hi]], owner[at].astype(np.int64) - lo, cell[at].astype(np.int64), amount[at].astype(np.float64), table)
         lo = hi
     v, n = np.bincount(classes, minlength=len(table)), np.bincount(classes, weights=count, minlength=len(table)).astype(np.int64)
     for k, (g, lo, hi) in enumerate(_parts(words, parts)):
@@ -398,10 +405,17 @@ def class_lm_scores(
     0: the base is log10(1) = 0 for each token.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("_own"), "text", F.coalesce(train, F.lit(False)).alias("_train"), "doc_id")
     told = stored(rows.mapInArrow(partial(_chunked, rare=rare), CHUNKS))
+    with configured(spark, BATCH, str(AT_ONCE)):
+        return _scored(rows, told, frequent, rare, classes, least)
+
+
+def _scored(rows: DataFrame, told: DataFrame, frequent: int, rare: int, classes: int, least: int) -> DataFrame:
+    """Chunks of the texts of ``rows`` to scores; what is stored on the way is deleted as soon as it was read."""
+    spark = rows.sparkSession
+    parts = shuffle_partitions(spark)
     lines = told.select("words", "endings", "line", "sizes", "flags")
 
     counted = lines.mapInArrow(partial(_occurrences, parts=parts), COUNTS).repartitionById(parts, F.col("part"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tracemalloc
 
 import numpy as np
 from pyspark import TaskContext
@@ -49,3 +50,24 @@ def test_fit_does_not_depend_on_blocks(monkeypatch):
     monkeypatch.setattr(quality_knn, "FITTED", 9)
     other = quality_knn.fit(counts, labels, 5)
     assert all((one[k] == other[k]).all() for k in one)
+
+
+def test_counts_of_words_are_summed_in_little_memory():
+    rng = np.random.default_rng(5)
+    some = [(rng.integers(0, 9_000, 40_000).astype(np.uint64), rng.integers(0, 4, 40_000).astype(np.uint32), np.ones(40_000, np.int64)) for _ in range(50)]
+    tracemalloc.start()
+    words, cells, amounts = class_lm._summed(iter(some))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    keys, counts = np.unique(np.concatenate([w * np.uint64(4) + c for w, c, _ in some]), return_counts=True)
+    assert (words * np.uint64(4) + cells == keys).all() and (amounts == counts).all()
+    # 2,000,000 pieces of 20 bytes, of which 36,000 are distinct
+    assert most < 20e6
+
+
+def test_chunks_go_to_the_model_a_few_at_a_time(spark, monkeypatch):
+    seen, conf, exchange = [], spark.conf.get(common.BATCH), class_lm.exchange
+    monkeypatch.setattr(class_lm, "exchange", lambda *a: seen.append(spark.conf.get(common.BATCH)) or exchange(*a))
+    docs = spark.createDataFrame([(k, f"a text {k % 5} of words") for k in range(40)], "doc_id long, text string")
+    assert class_lm.class_lm_scores(docs, F.col("doc_id") % 3 != 0, frequent=8, rare=8, classes=4).count() == 40
+    assert seen == ["8"] and spark.conf.get(common.BATCH) == conf
