@@ -33,6 +33,24 @@ def strip_marks(text: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(pc.utf8_normalize(pc.utf8_lower(text), "NFD"), r"\p{Mn}+", "")
 
 
+@F.arrow_udf(StringType())
+def lowered(text: pa.Array) -> pa.Array:
+    """Lower-cased letter by letter, whatever stands beside it: a last sigma is as any other, which ``lower`` of Spark tells apart."""
+    return pc.utf8_lower(text)
+
+
+def _bare(text: str | None) -> str | None:
+    if text is None or text.isascii():
+        return text
+    return unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c)[0] != "M"))
+
+
+@F.arrow_udf(StringType())
+def without_marks(text: pa.Array) -> pa.Array:
+    """NFC form without marks of any kind (spacing and enclosing ones too); capitals stay as they are, null stays null."""
+    return pa.array([_bare(t) for t in text.to_pylist()], pa.string())
+
+
 @F.arrow_udf(StringType())
 def compose(text: pa.Array) -> pa.Array:
     """NFC form.  The standard library composes; Arrow's own function leaves some texts decomposed."""

@@ -22,9 +22,8 @@ def word_spans(texts: DataFrame, id_col: str = "id", text_col: str = "text") ->
     start + 1, end - start) is the form.
     """
     tiles = texts.select(F.col(id_col).alias("id"), F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(TILES), F.lit(0))).alias("tile", "form"))
-    before = Window.partitionBy("id").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
-    placed = tiles.withColumn("start", F.coalesce(F.sum(F.length("form")).over(before), F.lit(0)))
-    return placed.where(F.col("form").rlike("^\\p{L}")).select("id", "form", F.col("start").cast("int").alias("start"), (F.col("start") + F.length("form")).cast("int").alias("end"))
+    placed = tiles.withColumn("end", F.sum(F.length("form")).over(Window.partitionBy("id").orderBy("tile")))  # of texts with one identifier, tiles of one number count together
+    return placed.where(F.col("form").rlike("^\\p{L}")).select("id", "form", (F.col("end") - F.length("form")).cast("int").alias("start"), F.col("end").cast("int").alias("end"))
 
 
 def align_forms(requests: DataFrame, spans: DataFrame, strict: Callable[[Column], Column] = F.lower, loose: Callable[[Column], Column] = strip_marks) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import letter_words, strip_marks
+from tessera.functions.text import letter_words, lowered, without_marks
 from tessera.operators import alignment, audit, expansion, fusion, inflection, lexical, nested, references, search
 from tessera.plans.registry import query, table
 from tessera.plans.text import _TOKENS, _BM25, _spelling, text_tokens
@@ -161,17 +161,11 @@ def aligned_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select(F.col("doc_id").alias("id"), "text")
     word = F.regexp_extract("text", "\\p{L}{5,}", 0)
     asked = texts.select(F.col("id").alias("request_id"), "id", word.alias("form")).where("form <> ''")
-    plain = asked.withColumn("form", F.when(F.col("id") % 40 == 0, F.col("form")).otherwise(_without_accents(F.col("form"))))
-    found = alignment.align_forms(plain, alignment.word_spans(texts))
+    plain = asked.withColumn("form", F.when(F.col("id") % 40 == 0, F.col("form")).otherwise(without_marks("form")))
+    found = alignment.align_forms(plain, alignment.word_spans(texts), lowered, lambda word: without_marks(lowered(word)))
     return found.select("id", "form", "status", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "token")
 
 
-def _without_accents(word):
-    """Marks off, capitals kept: the first letter is the only one of a word that can be a capital here, or all are."""
-    low = strip_marks(word)
-    return F.when(word == F.upper(word), F.upper(low)).when(F.substring(word, 1, 1) == F.upper(F.substring(word, 1, 1)), F.concat(F.upper(F.substring(low, 1, 1)), F.substring(low, 2, 1 << 30))).otherwise(low)
-
-
 @query("""WITH w AS (SELECT doc_id AS id, lang, regexp_extract_all(text, '\\p{L}+') AS words FROM documents), k AS (SELECT *, array_to_string(words, ' ') AS s FROM w WHERE len(words) >= 8),
     g AS (SELECT lang, s, count(*) AS size, list_sort(list(id)) AS ids FROM k GROUP BY 1, 2 HAVING count(*) > 1),
     t AS (SELECT k.*, lower(words[6]) AS form, len(list_filter(words, lambda x: lower(x) = lower(words[6]))) AS times FROM k WHERE id % 20 = 0)
