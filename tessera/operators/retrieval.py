@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,39 +23,134 @@ def dense_top_k(vectors: DataFrame, query: Sequence[float], k: int, eligible: Co
     return rows.withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1024) -> DataFrame:
-    """Exact nearest neighbours of each of (query_id, query_vector) among all vectors, by cosine rounded to six digits; ties go to the smaller identifier.
+class _Vectors:
+    """Vectors as rows of a matrix.  Missing entries are zeros that ``known`` tells apart; ``plain`` rows are whole and have a direction."""
+
+    def __init__(self, ids: pa.Array, lists: pa.Array, dimensions: int = 0):
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        values = pc.list_flatten(lists).cast(pa.float64())
+        self.ids, self.dimensions = ids, max(dimensions, int(sizes.max(initial=0)))
+        row, place = np.repeat(np.arange(len(sizes)), sizes), np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.known, self.rows = np.zeros((len(sizes), self.dimensions), bool), np.zeros((len(sizes), self.dimensions))
+        self.known[row, place] = values.is_valid().to_numpy(zero_copy_only=False)
+        self.rows[row, place] = pc.fill_null(values, 0.0).to_numpy(zero_copy_only=False)
+        with np.errstate(all="ignore"):
+            self.squares = _in_turn(self.rows, self.rows)
+            self.plain = self.known.all(1) & (self.squares > 1e-200) & (self.squares < 1e200)
+            self.unit = (self.rows / np.sqrt(np.where(self.plain, self.squares, np.inf))[:, None]).astype(np.float32)  # zeros for other rows
+        self.unit[~self.plain] = 0
+
+    def widened(self, dimensions: int) -> _Vectors:
+        return self if dimensions <= self.dimensions else _Vectors(self.ids, pa.array([r[k].tolist() for r, k in zip(self.rows, self.known, strict=True)], pa.list_(pa.float64())), dimensions)
+
+
+def _in_turn(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products of rows, their entries added one after the other."""
+    total = np.zeros(len(x))
+    for column in range(x.shape[1]):
+        total += x[:, column] * y[:, column]
+    return total
 
-    Queries and vectors are packed into blocks of ``block`` rows, and every block
-    of queries meets every block of vectors; a meeting is one product of matrices
-    in double precision and hands on k rows for a query.  So what a task holds is
-    two blocks, whatever the number of either, and nothing is broadcast.
+
+def _likely(asked: np.ndarray, given: np.ndarray, own: list[tuple[int, np.ndarray]], k: int, margin: float = 3e-5, lanes: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """(row of asked, row of given): all that may be among the k largest products, the own rows left out.
+
+    Rows of given are dealt into groups.  The k-th largest of the groups' maxima is
+    no more than the k-th largest product, so only groups and rows that reach it
+    are left, with a margin for products in single precision and rounded scores.
     """
+    wide = -(-len(given) // lanes)
+    products = np.full((len(asked), wide * lanes), -np.inf, np.float32)
+    np.matmul(asked, given.T, out=products[:, : len(given)])
+    for row, places in own:
+        products[row, places] = -np.inf
+    laned = products.reshape(len(asked), lanes, wide)
+    largest = laned.max(1)
+    least = np.partition(largest, wide - k, 1)[:, wide - k] - margin if wide >= k else np.full(len(asked), -np.inf, np.float32)
+    row, group = np.nonzero(largest >= least[:, None])
+    pair, lane = np.nonzero(laned[row, :, group] >= least[row][:, None])
+    row, place = row[pair], lane * wide + group[pair]
+    found = (place < len(given)) & (products[row, place] > -np.inf)
+    return row[found], place[found]
+
+
+def _nearest(asked: _Vectors, given: _Vectors, order: np.ndarray, k: int, tile: int = 256) -> Iterator[pa.RecordBatch]:
+    """The k nearest rows of given for each row of asked: likely ones by single precision, then exactly.  ``order``: of the ids of given."""
+    ids = given.ids.to_numpy(zero_copy_only=False)
+    ranks = np.empty(len(order), int)
+    ranks[order] = np.arange(len(order))
+    all_plain, odd = given.plain.all(), np.flatnonzero(~given.plain)
+    unit = given.unit if all_plain else given.unit[given.plain]
+    plain = np.flatnonzero(given.plain)
+    own_ids = asked.ids.to_numpy(zero_copy_only=False)
+    low, high = np.searchsorted(ids[order], own_ids, "left"), np.searchsorted(ids[order], own_ids, "right")
+    for start in range(0, len(own_ids), tile):
+        rows = np.arange(start, min(start + tile, len(own_ids)))
+        usual, rest = rows[asked.plain[rows]], rows[~asked.plain[rows]]
+        own = [(int(i), order[low[r] : high[r]]) for i, r in enumerate(usual) if low[r] < high[r]]
+        if not all_plain:
+            where = np.cumsum(given.plain) - 1
+            own = [(i, where[places[given.plain[places]]]) for i, places in own]
+        x, y = _likely(asked.unit[usual], unit, own, k)
+        # a row without a direction, or with entries missing, meets all
+        met = [(usual[x], plain[y]), (np.repeat(usual, len(odd)), np.tile(odd, len(usual)))]
+        met += [(np.full(len(ids), r), np.arange(len(ids))) for r in rest]
+        x, y = np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met])
+        other = (ranks[y] < low[x]) | (ranks[y] >= high[x])
+        x, y = x[other], y[other]
+        with np.errstate(all="ignore"):
+            scores = np.round(_in_turn(asked.rows[x], given.rows[y]) / np.sqrt(asked.squares[x] * given.squares[y]), 6)
+        null = ~(asked.known[x] & given.known[y]).any(1) if len(odd) or len(rest) else np.zeros(len(x), bool)
+        # as in SQL: NaN before all numbers, null behind them
+        kind = np.where(null, 2, np.where(np.isnan(scores), 0, 1))
+        first = np.lexsort((ranks[y], np.where(kind == 1, -scores, 0), kind, x))
+        x, y, scores, null = x[first], y[first], scores[first], null[first]
+        starts = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, int)
+        kept = np.arange(len(x)) - np.repeat(starts, np.diff(np.append(starts, len(x)))) < k
+        columns = [asked.ids.take(pa.array(x[kept])), given.ids.take(pa.array(y[kept])), pa.array(scores[kept], pa.float64(), mask=null[kept])]
+        yield pa.RecordBatch.from_arrays(columns, ["query_id", "neighbour", "score"])
+
+
+def nearest_of_each(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", block: int = 1 << 14) -> DataFrame:
+    """Exact nearest neighbours of each of (query_id, query_vector) among all vectors, by cosine rounded to six digits; ties go to the smaller identifier.
 
-    def packed(rows: DataFrame, name: str, vector: str, blocks: str) -> DataFrame:
-        own = rows.select(F.col(name).alias("id"), F.transform(vector, lambda v: v.cast("double")).alias("v"))
-        parts = max(1, -(-own.count() // block))
-        return own.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts))).groupBy("part").agg(F.collect_list(F.struct("id", "v")).alias(blocks))
-
-    def meet(batches):
-        for pdf in batches:
-            for asked, given in zip(pdf["asked"], pdf["given"], strict=True):
-                ids = np.array([g["id"] for g in given])
-                x, y = np.array([a["v"] for a in asked], float), np.array([g["v"] for g in given], float)
-                scores = x @ y.T / np.maximum(np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :], 1e-300)
-                for a, own in zip(asked, np.round(scores, 6), strict=True):
-                    own = np.where(ids == a["id"], -np.inf, own)
-                    best = np.lexsort((ids, -own))[:k]
-                    best = best[own[best] > -np.inf]
-                    yield pd.DataFrame({"query_id": a["id"], "neighbour": ids[best], "score": own[best]})
-
-    left, right = packed(queries, "query_id", "query_vector", "asked"), packed(vectors, id_col, vector_col, "given")
+    Vectors are dealt into parts of about ``block`` rows, or less where they are few;
+    all queries pass each part, some rows at a time, and a part hands on k rows for
+    a query.  Products of matrices in single precision tell which vectors may be
+    among the nearest, and these are scored in double precision.  So what a task
+    holds is one part and some queries, whatever the number of either, and nothing
+    is broadcast.  The work is the number of queries times that of vectors.
+    """
     kind = vectors.schema[id_col].dataType.simpleString()
-    # blocks meet by an equality: each block of queries has a row for every block of vectors
-    numbers = right.agg(F.max("part").alias("_most"))
-    dealt = left.drop("part").crossJoin(F.broadcast(numbers)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_most").cast("int")))).drop("_most")  # numbers: one row
-    met = dealt.withColumn("part", F.col("part").cast("long")).join(right, "part").select("asked", "given")
-    found = met.mapInPandas(meet, f"query_id {kind}, neighbour {kind}, score double")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, held, given, order = None, [], None, None
+        for batch in batches:
+            keys = batch["part"].to_numpy() * 2 + batch["side"].to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                some, now = batch.slice(start, end - start), int(keys[start]) // 2
+                if now != part:
+                    part, held, given = now, [], None
+                if keys[start] % 2 == 0:
+                    held.append(some)
+                elif held or given is not None:
+                    if given is None:
+                        rows = pa.Table.from_batches(held).combine_chunks()
+                        given, held = _Vectors(rows["id"].combine_chunks(), rows["v"].combine_chunks()), []
+                        order = np.argsort(given.ids.to_numpy(zero_copy_only=False), kind="stable")
+                    asked = _Vectors(some["id"], some["v"], given.dimensions)
+                    given = given.widened(asked.dimensions)
+                    yield from _nearest(asked, given, order, k)
+
+    count = vectors.count()
+    parts = max(1, -(-count // block), min(-(-count // 1024), 64))
+    given = vectors.where(F.col(id_col).isNotNull()).select(F.pmod(F.xxhash64(id_col), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("side"), F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
+    asked = queries.where("query_id is not null").select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("side"), F.col("query_id").cast(kind).alias("id"), F.col("query_vector").cast(vectors.schema[vector_col].dataType).alias("v"))
+    dealt = given.unionAll(asked).repartition(parts, "part").sortWithinPartitions("part", "side")
+    found = dealt.mapInArrow(meet, f"query_id {kind}, neighbour {kind}, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "neighbour"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
